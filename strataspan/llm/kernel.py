@@ -81,7 +81,7 @@ def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most ``limit`` bytes of text, or one longer text."""
     _, offsets = column_bytes(batch.column(text))
     first, n = 0, batch.num_rows

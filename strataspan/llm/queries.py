@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, pii, quality
-from .common import table
+from . import chat, decontam, mixing, pii, quality, sql, tokens
+from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,26 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(extra)))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document enters with an estimate, is revised to its exact count, and
+    goes again where a label says toxic; each batch is also replayed."""
+    docs = table(spark, sf_dir, "documents")
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    store = tokens.TokenTotals(spark, scratch_path(spark, "token-totals"))
+    estimates = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.lit("byte_bpe_50k").alias("tokenizer"), F.lit("insert").alias("op"),
+        "source", "lang", F.coalesce(F.ceil(F.length("text") / 4), F.lit(0)).cast("long").alias("n_tokens"),
+    )
+    exact = tokens.count_tokens(docs).withColumn("op", F.lit("revise"))
+    gone = toxic.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.lit("byte_bpe_50k").alias("tokenizer"), F.lit("delete").alias("op"),
+        F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("n_tokens"),
+    )
+    for name, changes in (("estimates", estimates), ("exact", exact), ("toxic", gone), ("exact", exact)):
+        store.commit(name, changes)
+    return store.totals()
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
@@ -31,9 +51,25 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(quality.ledger(table(spark, sf_dir, "documents")), "v2")
 
 
+MIX_WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "lang": {"en": 5, "de": 3, "fr": 2, "es": 2}}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_chat_format, op5_pii, op6_quality)}
+    return {f.__name__: f for f in (op3_chat_format, op4_token_counts, op5_pii, op6_quality, op8_mixing, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_chat_format": sql.OP3,
+        "op6_quality": sql.OP6,
+        "op8_mixing": sql.mixing(MIX_WEIGHTS),
+        "op10_decontaminate": sql.OP10,
+    }
