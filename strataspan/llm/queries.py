@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, pii, quality, sql, tokens
+from . import chat, decontam, jaccard, mixing, pii, quality, sql, tokens
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes_of(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -63,7 +67,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_chat_format, op4_token_counts, op5_pii, op6_quality, op8_mixing, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_ngram_jaccard, op3_chat_format, op4_token_counts, op5_pii, op6_quality, op8_mixing, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
