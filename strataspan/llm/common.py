@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -70,3 +71,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more;
+    it does so when the driver's heap is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

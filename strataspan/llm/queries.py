@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, mixing, pii, quality, sql, tokens
+from . import chat, decontam, jaccard, mixing, phrases, pii, quality, sql, suffixes, tokens
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(quality.ledger(table(spark, sf_dir, "documents")), "v2")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_earlier(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 MIX_WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "lang": {"en": 5, "de": 3, "fr": 2, "es": 2}}
 
 
@@ -62,12 +67,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrases.remove_recurring(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_ngram_jaccard, op3_chat_format, op4_token_counts, op5_pii, op6_quality, op8_mixing, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_ngram_jaccard, op3_chat_format, op4_token_counts, op5_pii, op6_quality, op7_suffix_dedup, op8_mixing, op9_substring_dedup, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
