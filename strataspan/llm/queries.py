@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, mixing, phrases, pii, quality, sql, suffixes, tokens
+from . import chat, decontam, jaccard, lines, mixing, phrases, pii, quality, sql, suffixes, tokens
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its lines before and after, and the digest of what is left."""
+    docs = table(spark, sf_dir, "documents")
+    count = lambda c: F.size(F.split(F.coalesce(c, F.lit("")), "\n")).cast("long")
+    out = lines.dedup_lines(docs.withColumn("n_lines", count(F.col("text"))))
+    return out.select(
+        "doc_id", "n_lines", F.when(F.col("text") == "", 0).otherwise(count(F.col("text"))).alias("n_kept"), F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes_of(table(spark, sf_dir, "documents"))
 
@@ -77,7 +87,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_ngram_jaccard, op3_chat_format, op4_token_counts, op5_pii, op6_quality, op7_suffix_dedup, op8_mixing, op9_substring_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_chat_format, op4_token_counts, op5_pii, op6_quality, op7_suffix_dedup, op8_mixing, op9_substring_dedup, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
