@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["spatial", "rasters"]
+MODULES = ["spatial", "rasters", "catalogs"]
 
 
 def all_queries() -> dict:
