@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, release
 from .kernel import _BYTE_VALUES, _BYTES, Words, column_bytes, mix, rolling, slices, sliding_min_positions
 
-FLUSH_BYTES = 24 << 20
+SCAN_BYTES, SEND_BYTES = 8 << 20, 3 << 20  # what a task holds before it sends
 LAST_ID = (1 << 63) - 1
 _U = np.uint64
 
@@ -68,7 +68,8 @@ def byte_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.n
     """Hashes of byte strings inside ``data``."""
     up, down = _BYTES.of(len(data) + 1)
     sums = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
+    np.multiply(_BYTE_VALUES[data], up[: len(data)], out=sums[1:])
+    np.cumsum(sums, out=sums)
     return mix((sums[starts + sizes] - sums[starts]) * down[starts] + sizes.astype(_U))
 
 
@@ -134,11 +135,15 @@ class Fragments:
 
     @classmethod
     def unpack(cls, blobs: list[bytes]) -> Fragments:
+        """Takes the blobs off the list."""
         parts = []
-        for b in blobs:
+        while blobs:
+            b = blobs.pop()
             (size,) = struct.unpack_from("<q", b)
             parts.append([*unpack(b[8 : 8 + size], *cls.KINDS), *unpack(b[8 + size :], np.uint8)])
-        return cls(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+        columns = [list(c) for c in zip(*parts, strict=True)]
+        parts.clear()
+        return cls(*(np.concatenate(columns.pop(0)) for _ in range(len(columns))))
 
     def same(self) -> tuple[np.ndarray, np.ndarray]:
         """A fragment of each content, and for each fragment the number of its content."""
@@ -207,7 +212,7 @@ def _candidates(docs: DataFrame, unit: Unit, to: int, across: bool) -> DataFrame
                 if len(key):
                     held.append((key, part.column(0).to_numpy(zero_copy_only=False)[r], lo, n))
                 size += part.column(1).nbytes
-                if size >= FLUSH_BYTES and held:
+                if size >= SCAN_BYTES and held:
                     yield from flush()
                     held, size = [], 0
         if held:
@@ -304,7 +309,7 @@ def _spans(docs: DataFrame, found: DataFrame, unit: Unit, to: int, engine: Engin
                 row, doc = (part.column(c).to_numpy(zero_copy_only=False)[r] for c in (3, 4))
                 held.append((marks[1][mine], doc, row, lo, n, np.ones(len(mine), np.uint8), end - begin, data[ragged(begin, end - begin)]))
                 size += int((end - begin).sum()) + 40 * len(mine)
-            if size >= FLUSH_BYTES:
+            if size >= SEND_BYTES:
                 yield from flush()
                 held, size = [], 0
         if held:
@@ -321,7 +326,6 @@ def _spans(docs: DataFrame, found: DataFrame, unit: Unit, to: int, engine: Engin
         if not blobs:
             return
         f = Fragments.unpack(blobs)
-        blobs.clear()
         order = np.argsort(f.key, kind="stable")
         # parts of about a megabyte; fragments of one key stay together
         edge = np.flatnonzero(np.diff(f.key[order], prepend=f.key[order[:1]] + _U(1)) != 0)
