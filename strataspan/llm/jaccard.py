@@ -6,12 +6,13 @@ similar sets must share at least one of. Rarity comes from counts of all documen
 n-grams in a table of 2**SKETCH_BITS cells, whose size doesn't depend on the data;
 any order gives right results, a good one short posting lists.
 
-Posting lists are never expanded into all pairs. First every class meets the first
-class of its list and length band. Components of the links found so are labelled on
-the postings, and only classes of one list whose components differ then meet: more
-links inside a component couldn't change it. Pairs pass the length and positional
-filters, are made distinct, and are verified on the whole sets, after the suffix
-filter (bounds by hash range).
+Posting lists are never expanded into all pairs. In the first rounds every class meets
+one class, the first of most of its lists and its length band. Components of the links
+found so are labelled on the postings, and only classes of one list whose components
+differ go on: more links inside a component couldn't change it. In the last round all
+pairs that are left of such lists meet. Pairs pass the length and positional filters,
+are made distinct, and are verified on the whole sets, after the suffix filter (bounds
+by hash range).
 
 Words are runs without white space, with A-Z lower-cased. Defined cases: null and
 empty texts have an empty set and are linked with nothing; a text of fewer words than
@@ -31,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, fresh, materialise
+from .common import discard, fresh, materialise, release
 from .components import components
 from .kernel import Words, slices
+from .repeats import pack, unpack
 
-NGRAM, PERCENT, SKETCH_BITS, CHUNKS, SALT_ROWS = 5, 75, 18, 64, 2000
+NGRAM, PERCENT, SKETCH_BITS, CHUNKS, SALT_ROWS, ROUNDS = 5, 75, 21, 64, 2000, 2
 _CELLS = (1 << SKETCH_BITS) // CHUNKS
 
 
@@ -66,7 +68,7 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n, k1, k2 (the set's digest), and each task's counts by cell."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts, waiting, size = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
         names = ["doc_id", "n", "k1", "k2", "chunk", "counts"]
         for batch in batches:
             for part in slices(batch, "text"):
@@ -74,12 +76,18 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
                 for own in _sets(part, "text", n):
                     rows.append((len(own), *_keys(own)))
                     grams.append(own)
-                counts += np.bincount(_cells(np.concatenate(grams)), minlength=len(counts))
+                waiting += grams
+                size += sum(map(len, grams))
+                if size > len(counts):
+                    counts += np.bincount(_cells(np.concatenate(waiting)), minlength=len(counts))
+                    waiting, size = [], 0
                 cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names)
+        if waiting:
+            counts += np.bincount(_cells(np.concatenate(waiting)), minlength=len(counts))
         if counts.any():
             none = pa.nulls(CHUNKS, pa.int64())
-            blobs = pa.array([c.tobytes() for c in counts.reshape(CHUNKS, _CELLS)], pa.binary())
+            blobs = pa.array([pack(c) for c in counts.reshape(CHUNKS, _CELLS)], pa.binary())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(CHUNKS), pa.int32()), blobs], names)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -93,14 +101,14 @@ def _sketch(scanned: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[c] = sums.get(c, 0) + np.frombuffer(blob, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["chunk", "counts"])
+                sums[c] = sums.get(c, 0) + unpack(blob, np.int64)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(s) for s in sums.values()], pa.binary())], ["chunk", "counts"])
 
     parts = scanned.filter("chunk is not null").select("chunk", "counts")
     once = parts.mapInArrow(add, "chunk int, counts binary")
     out = np.zeros((CHUNKS, _CELLS), np.int64)
     for r in once.repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect():
-        out[r.chunk] += np.frombuffer(r.counts, np.int64)
+        out[r.chunk] += unpack(r.counts, np.int64)[0]
     return out.reshape(-1)
 
 
@@ -190,35 +198,41 @@ def classes_of(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataF
     sketch = spark.sparkContext.broadcast(_sketch(scanned))
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    inlist = Window.partitionBy("gram").orderBy("band", "n", "k1")
-    inband = Window.partitionBy("gram", "band").orderBy("n", "k1")
-    first = F.first(F.struct(F.col("k1").alias("k"), F.col("n").alias("n"), F.col("pos").alias("p"))).over(inband)
-    lists = _postings(docs, n, percent, sketch).withColumn("band", band).withColumns({
-        "before": F.lag("k1").over(inlist), "after": F.lead("k1").over(inlist), "head": first,
-    })
+    inlist = Window.partitionBy("gram").orderBy("n", "k1")
+    lists = _postings(docs, n, percent, sketch).withColumns({"before": F.lag("k1").over(inlist), "after": F.lead("k1").over(inlist)})
     lists = lists.filter("(before is not null or after is not null) and (before is null or before <> k1)")
-    lists = lists.filter("before is not null or after <> k1")
-    lists = materialise(lists.select("gram", "k1", "n", "pos", F.col("head.k").alias("pivot"), F.col("head.n").alias("pn"), F.col("head.p").alias("pp")), "jaccard-lists")
-
-    tried = lists.filter("pivot <> k1 and " + _may_link("n", "pos", "pn", "pp", percent)).select("pivot", "k1").distinct()
-    tried = materialise(tried, "jaccard-pairs")
-    links = materialise(_verify(docs, classes, tried, n, percent), "jaccard-links")
-    labels = materialise(components(links), "jaccard-labels")
-
-    owner = classes.join(labels, F.col("rep") == F.col("node"), "left").select("k1", F.coalesce("component", "rep").alias("part"))
-    placed = lists.select("gram", "k1", "n", "pos").join(owner, "k1")
-    mixed = placed.groupBy("gram").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("gram")
-    placed = materialise(placed.join(mixed, "gram"), "jaccard-mixed")
-    a = placed.select("gram", *[F.col(c).alias(c + "a") for c in ("k1", "n", "pos", "part")])
-    b = placed.select("gram", *[F.col(c).alias(c + "b") for c in ("k1", "n", "pos", "part")])
-    more = a.join(b, "gram").filter("k1a < k1b and parta <> partb and " + _may_link("na", "posa", "nb", "posb", percent))
-    more = more.select(F.col("k1a").alias("pivot"), F.col("k1b").alias("k1")).distinct()
-    more = more.join(tried, ["pivot", "k1"], "left_anti")
-    more = more.join(tried.select(F.col("k1").alias("pivot"), F.col("pivot").alias("k1")), ["pivot", "k1"], "left_anti")
-    more = materialise(more, "jaccard-more")
-    late = materialise(_verify(docs, classes, more, n, percent), "jaccard-late")
-    labels = materialise(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late)), "jaccard-final")
-    discard(lists, placed, tried, more, links, late)
+    lists = materialise(lists.select("gram", "k1", "n", "pos"), "jaccard-lists")
+    release(spark)
+
+    tried = materialise(spark.createDataFrame([], "pivot long, k1 long"), "jaccard-tried")
+    labels = spark.createDataFrame([], "node long, component long")
+    for turn in range(ROUNDS + 1):
+        # lists whose classes are in different components
+        owner = classes.join(labels, F.col("rep") == F.col("node"), "left").select("k1", F.coalesce("component", "rep").alias("part"))
+        placed = lists.join(owner, "k1")
+        mixed = placed.groupBy("gram").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("gram")
+        smaller = materialise(placed.join(mixed, "gram"), "jaccard-mixed")
+        discard(lists)
+        lists = smaller.select("gram", "k1", "n", "pos")
+        lists.scratch = smaller.scratch
+        if turn < ROUNDS:  # each class meets one first class of its lists, that of most of them
+            inband = Window.partitionBy("gram", "band").orderBy("n", "k1")
+            head = F.first(F.struct("k1", "n", "pos", "part")).over(inband).alias("head")
+            rows = smaller.withColumn("band", band).select("k1", "n", "pos", "part", head)
+            rows = rows.filter("head.part <> part and " + _may_link("n", "pos", "head.n", "head.pos", percent))
+            votes = rows.groupBy(F.col("head.k1").alias("pivot"), "k1").agg(F.count("*").alias("votes"))
+            votes = votes.join(tried, ["pivot", "k1"], "left_anti")
+            pairs = votes.groupBy("k1").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("pivot")).select("pivot", "k1")
+        else:  # what is left: all pairs of one list and different components
+            a, b = (smaller.select("gram", *[F.col(c).alias(c + x) for c in ("k1", "n", "pos", "part")]) for x in "ab")
+            rows = a.join(b, "gram").filter("k1a < k1b and parta <> partb and " + _may_link("na", "posa", "nb", "posb", percent))
+            pairs = rows.select(F.col("k1a").alias("pivot"), F.col("k1b").alias("k1")).distinct().join(tried, ["pivot", "k1"], "left_anti")
+        pairs = materialise(pairs, "jaccard-pairs")
+        links = materialise(_verify(docs, classes, pairs, n, percent), "jaccard-links")
+        labels = materialise(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "jaccard-labels")
+        tried = tried.unionByName(pairs).unionByName(pairs.select(F.col("k1").alias("pivot"), F.col("pivot").alias("k1")))
+        release(spark)
+    discard(lists)
 
     out = own.join(classes, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"))
     out = out.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")

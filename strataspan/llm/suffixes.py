@@ -55,18 +55,12 @@ def suffix_array(s: np.ndarray, depth: int, reach: int = 1) -> np.ndarray:
     rest = np.arange(0, n, 3)
     rest = rest[np.argsort(t[rest] * (n + 2) + rank[rest + 1], kind="stable")]
 
-    # where each remaining suffix goes among the sampled ones
-    after_one = sampled % 3 == 1
-    lo, hi = np.zeros(len(rest), np.int64), np.full(len(rest), len(sampled), np.int64)
-    while (open_ := np.flatnonzero(lo < hi)).size:
-        mid = (lo[open_] + hi[open_]) >> 1
-        i, j, one = sampled[mid], rest[open_], after_one[mid]
-        a, b = t[i], t[j]
-        a1, b1 = np.where(one, rank[i + 1], t[i + 1]), np.where(one, rank[j + 1], t[j + 1])
-        a2, b2 = np.where(one, 0, rank[i + 2]), np.where(one, 0, rank[j + 2])
-        less = (a < b) | ((a == b) & ((a1 < b1) | ((a1 == b1) & (a2 < b2))))
-        lo[open_] = np.where(less, mid + 1, lo[open_])
-        hi[open_] = np.where(less, hi[open_], mid)
+    # how many sampled suffixes come before each remaining one: of positions 1 modulo 3 by
+    # a character and a rank, of positions 2 by two characters and a rank
+    one, two = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
+    by_one = lambda p: (t[p] << 21) | rank[p + 1]
+    by_two = lambda p: (t[p] << 42) | (t[p + 1] << 21) | rank[p + 2]
+    lo = np.searchsorted(np.sort(by_one(one)), by_one(rest)) + np.searchsorted(np.sort(by_two(two)), by_two(rest))
     out = np.empty(n, np.int64)
     at = np.maximum.accumulate(lo) + np.arange(len(rest))  # ties reach beyond the depth in any order
     free = np.ones(n, bool)
@@ -102,7 +96,19 @@ def earlier(window: int = WINDOW):
         first, number = f.same()
         least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least, number, f.doc)
-        only = f.take(first)
+        # where a key has one content only, an equal window elsewhere is an equal fragment
+        _, key_no, contents = np.unique(f.key[first], return_inverse=True, return_counts=True)
+        lone = contents[key_no] == 1
+        least_in = least[number]
+        sorted_no = np.cumsum(~lone) - 1
+        f_lone = lone[number]
+        i = np.flatnonzero(f.doc > least_in)  # an earlier document has the whole fragment
+        whole = (i, np.zeros(len(i), np.int64), f.n[i].astype(np.int64) - 1 + window)
+        if lone.all():
+            return whole
+        only = f.take(first[~lone])
+        least = least[~lone]
+        first = first[~lone]
         sizes = only.n.astype(np.int64)
         order, new = string_numbers(only.data, only.start, only.size, window)
         group = np.cumsum(new) - 1
@@ -116,13 +122,11 @@ def earlier(window: int = WINDOW):
         smallest[window_no] = best[group]
 
         begin = np.cumsum(sizes) - sizes
-        whole = f.doc > least[number]  # an earlier document has the whole fragment
-        i = np.flatnonzero(whole)
-        part = np.flatnonzero(~whole)
-        n = sizes[number[part]]
-        mask = smallest[ragged(begin[number[part]], n)] < np.repeat(f.doc[part], n)
-        j, a, b = runs(part, mask, n, window)
-        return np.append(i, j), np.append(np.zeros(len(i), np.int64), a), np.append(f.n[i].astype(np.int64) - 1 + window, b)
+        part = np.flatnonzero((f.doc <= least_in) & ~f_lone)
+        at = sorted_no[number[part]]
+        n = sizes[at]
+        mask = smallest[ragged(begin[at], n)] < np.repeat(f.doc[part], n)
+        return tuple(np.append(x, y) for x, y in zip(whole, runs(part, mask, n, window), strict=True))
 
     return engine
 
