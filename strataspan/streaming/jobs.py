@@ -23,8 +23,8 @@ def latest_state(events: DataFrame) -> DataFrame:
 
 def lifecycle(events: DataFrame, idle: str = "1 hour") -> DataFrame:
     """job_id, status, steps, refused: each job's state after each batch of a stream, where
-    moves that its state doesn't allow are counted and change nothing. Finished jobs' state
-    is dropped once they are idle."""
+    moves that its state doesn't allow are counted and change nothing. A job's state is
+    dropped once event time has passed its last event by ``idle``."""
     ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,25 +39,26 @@ def lifecycle(events: DataFrame, idle: str = "1 hour") -> DataFrame:
             else:
                 refused += 1
         state.update((status, steps, refused))
-        state.setTimeoutDuration(ms)
+        last = int(rows["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ms)
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "steps": [steps], "refused": [refused]})
 
     out = "job_id long, status string, steps long, refused long"
-    return events.select("job_id", "ts", "status").groupBy("job_id").applyInPandasWithState(
-        step, out, "status string, steps long, refused long", "update", GroupStateTimeout.ProcessingTimeTimeout
+    return events.select("job_id", "ts", "status").withWatermark("ts", idle).groupBy("job_id").applyInPandasWithState(
+        step, out, "status string, steps long, refused long", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def windowed(events: DataFrame, size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and sums by window and type; windows close when the watermark passes them."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    out = events.withWatermark("ts", late).groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+    out = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "v")
 
 
 def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
     """user_id, start, end, n of runs of events at most ``gap`` apart."""
-    out = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    out = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 

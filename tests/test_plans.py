@@ -235,18 +235,16 @@ def test_streams(spark, sf_dir, tmp_path):
     assert {r.job_id: (r.status, r.progress) for r in jobs.latest_state(frame).collect()} == {1: ("done", 1.0), 2: ("done", 0.0)}
     stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "jobs"))
     for name, df, mode in (("latest", jobs.latest_state(stream), "update"), ("life", jobs.lifecycle(stream), "update")):
-        q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
-        q.processAllAvailable()
-        q.stop()
+        q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
     assert {r.job_id: r.status for r in spark.table("latest").collect()} == {1: "done", 2: "done"}
     assert {r.job_id: (r.status, r.steps, r.refused) for r in spark.table("life").collect()} == {1: ("done", 3, 0), 2: ("", 0, 1)}
 
     load(spark, sf_dir, "events").repartition(1).write.parquet(str(tmp_path / "events"))
     live = spark.readStream.schema(load(spark, sf_dir, "events").schema).parquet(str(tmp_path / "events"))
     for name, df in (("hours", jobs.windowed(live, "1 hour")), ("visits", jobs.sessions(live, "30 minutes"))):
-        q = df.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
-        q.processAllAvailable()
-        q.stop()
+        q = df.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
         assert 0 < spark.table(name).agg(F.sum("n")).first()[0] <= load(spark, sf_dir, "events").count()
 
 
