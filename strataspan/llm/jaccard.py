@@ -7,12 +7,12 @@ n-grams in a table of 2**SKETCH_BITS cells, whose size doesn't depend on the dat
 any order gives right results, a good one short posting lists.
 
 Posting lists are never expanded into all pairs. In the first rounds every class meets
-one class, the first of most of its lists and its length band. Components of the links
+one class, the first of most of its lists in its length band. Components of the links
 found so are labelled on the postings, and only classes of one list whose components
 differ go on: more links inside a component couldn't change it. In the last round all
-pairs that are left of such lists meet. Pairs pass the length and positional filters,
-are made distinct, and are verified on the whole sets, after the suffix filter (bounds
-by hash range).
+pairs that are left of such lists meet, if they pass the length, positional and suffix
+filters (the last bounds what two sets can share by their sizes in hash ranges). Pairs
+are made distinct and verified on the whole sets.
 
 Words are runs without white space, with A-Z lower-cased. Defined cases: null and
 empty texts have an empty set and are linked with nothing; a text of fewer words than
@@ -37,7 +37,7 @@ from .components import components
 from .kernel import Words, slices
 from .repeats import pack, unpack
 
-NGRAM, PERCENT, SKETCH_BITS, CHUNKS, SALT_ROWS, ROUNDS = 5, 75, 21, 64, 2000, 2
+NGRAM, PERCENT, SKETCH_BITS, CHUNKS, SALT_ROWS, ROUNDS, BINS = 5, 75, 21, 64, 2000, 3, 64
 _CELLS = (1 << SKETCH_BITS) // CHUNKS
 
 
@@ -59,17 +59,22 @@ def _cells(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _bins(own: np.ndarray) -> np.ndarray:
+    return np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=BINS)
+
+
 def _keys(own: np.ndarray) -> tuple[int, int]:
     digest = xxhash.xxh3_128_digest(own.tobytes())
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n, k1, k2 (the set's digest), and each task's counts by cell."""
+    """doc_id, n, k1, k2 (the set's digest), bins (its sizes by hash range), and each
+    task's counts by cell."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, waiting, size = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
-        names = ["doc_id", "n", "k1", "k2", "chunk", "counts"]
+        names = ["doc_id", "n", "k1", "k2", "bins", "chunk", "counts"]
         for batch in batches:
             for part in slices(batch, "text"):
                 rows, grams = [], []
@@ -82,16 +87,18 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
                     counts += np.bincount(_cells(np.concatenate(waiting)), minlength=len(counts))
                     waiting, size = [], 0
                 cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names)
+                flat = np.concatenate([_bins(own) for own in grams]).astype(np.int32)
+                bins = pa.ListArray.from_arrays(pa.array(np.arange(len(grams) + 1, dtype=np.int32) * BINS), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols, bins, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names)
         if waiting:
             counts += np.bincount(_cells(np.concatenate(waiting)), minlength=len(counts))
         if counts.any():
             none = pa.nulls(CHUNKS, pa.int64())
             blobs = pa.array([pack(c) for c in counts.reshape(CHUNKS, _CELLS)], pa.binary())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(CHUNKS), pa.int32()), blobs], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(CHUNKS, pa.list_(pa.int32())), pa.array(range(CHUNKS), pa.int32()), blobs], names)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(task, "doc_id long, n long, k1 long, k2 long, chunk int, counts binary")
+    return rows.mapInArrow(task, "doc_id long, n long, k1 long, k2 long, bins array<int>, chunk int, counts binary")
 
 
 def _sketch(scanned: DataFrame) -> np.ndarray:
@@ -170,7 +177,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, perce
                 for pivot, salt, kind, doc, own in zip(*cols, _sets(part, "text", n), strict=True):
                     if (pivot, salt) != now:
                         now, held = (pivot, salt), []
-                    spread = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=64)
+                    spread = _bins(own)
                     if kind == 0:
                         held.append((doc, own, spread))
                         continue
@@ -216,16 +223,23 @@ def classes_of(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataF
         lists = smaller.select("gram", "k1", "n", "pos")
         lists.scratch = smaller.scratch
         if turn < ROUNDS:  # each class meets one first class of its lists, that of most of them
-            inband = Window.partitionBy("gram", "band").orderBy("n", "k1")
+            # first that with most postings, which has least of its own; later any
+            weight = F.col("postings") if turn == 0 else F.xxhash64("k1", F.lit(turn))
+            postings = smaller.groupBy("k1").agg(F.count("*").alias("postings"))
+            inband = Window.partitionBy("gram", "band").orderBy(F.desc("weight"), "k1")
             head = F.first(F.struct("k1", "n", "pos", "part")).over(inband).alias("head")
-            rows = smaller.withColumn("band", band).select("k1", "n", "pos", "part", head)
+            rows = smaller.join(postings, "k1").withColumns({"band": band, "weight": weight}).select("k1", "n", "pos", "part", head)
             rows = rows.filter("head.part <> part and " + _may_link("n", "pos", "head.n", "head.pos", percent))
             votes = rows.groupBy(F.col("head.k1").alias("pivot"), "k1").agg(F.count("*").alias("votes"))
             votes = votes.join(tried, ["pivot", "k1"], "left_anti")
             pairs = votes.groupBy("k1").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("pivot")).select("pivot", "k1")
         else:  # what is left: all pairs of one list and different components
-            a, b = (smaller.select("gram", *[F.col(c).alias(c + x) for c in ("k1", "n", "pos", "part")]) for x in "ab")
-            rows = a.join(b, "gram").filter("k1a < k1b and parta <> partb and " + _may_link("na", "posa", "nb", "posb", percent))
+            bins = own.join(smaller.select("k1").distinct(), "k1").groupBy("k1").agg(F.first("bins").alias("bins"))
+            sized = smaller.join(bins, "k1")
+            a, b = (sized.select("gram", *[F.col(c).alias(c + x) for c in ("k1", "n", "pos", "part", "bins")]) for x in "ab")
+            most = "aggregate(zip_with(binsa, binsb, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
+            suffix = f"{100 + percent} * {most} >= {percent} * (na + nb)"
+            rows = a.join(b, "gram").filter(f"k1a < k1b and parta <> partb and {_may_link('na', 'posa', 'nb', 'posb', percent)} and {suffix}")
             pairs = rows.select(F.col("k1a").alias("pivot"), F.col("k1b").alias("k1")).distinct().join(tried, ["pivot", "k1"], "left_anti")
         pairs = materialise(pairs, "jaccard-pairs")
         links = materialise(_verify(docs, classes, pairs, n, percent), "jaccard-links")
