@@ -194,7 +194,7 @@ def s20_window(spark, d):
 
 def s25_pyramid(spark, d):
     out = change.pyramid(scene(spark, "c"), ["scene_id"], ["b4"], 3)
-    return out.groupBy("level").agg(F.count("*").alias("n"), F.round(F.sum("b4"), 2).alias("sum"))
+    return out.groupBy("level").agg(F.count("*").alias("n"), F.round(F.avg("b4"), 6).alias("mean"))
 
 
 def s28_mosaic(spark, d):
@@ -249,7 +249,7 @@ QUERIES = {
     "r16_joint_percentiles": (r16_joint_percentiles, _sql("c", select="SELECT round(quantile_cont(v, 0.02), 6) AS p2, round(quantile_cont(v, 0.98), 6) AS p98 FROM (SELECT unnest([b2_a, b3_a, b4_a]) AS v FROM px)")),
     "r18_resample": (r18_resample, _sql("c", select=f"SELECT y * 8 // {HEIGHT} AS cell_row, x * 8 // {WIDTH} AS cell_col, round(avg(ndvi_a), 6) AS ndvi FROM px GROUP BY 1, 2")),
     "s20_window": (s20_window, _sql("c", select="SELECT count(*) AS n, round(avg(b4_a), 6) AS b4 FROM px WHERE y BETWEEN 24 AND 71 AND x BETWEEN 56 AND 103")),
-    "s25_pyramid": (s25_pyramid, _sql("c", select=" UNION ALL ".join(f"SELECT {k} AS level, count(*) AS n, round(sum(m), 2) AS sum FROM (SELECT avg(b4_a) AS m FROM px GROUP BY y // {2**k}, x // {2**k})" for k in (1, 2, 3)))),
+    "s25_pyramid": (s25_pyramid, _sql("c", select=" UNION ALL ".join(f"SELECT {k} AS level, count(*) AS n, round(avg(m), 6) AS mean FROM (SELECT avg(b4_a) AS m FROM px GROUP BY y // {2**k}, x // {2**k})" for k in (1, 2, 3)))),
     "s28_mosaic": (s28_mosaic, _sql("c", "d", select="SELECT CASE WHEN valid_a THEN 'c' ELSE 'd' END AS scene_id, count(*) AS n, round(sum(CASE WHEN valid_a THEN b8_a ELSE b8_b END), 4) AS b8 FROM px WHERE valid_a OR valid_b GROUP BY 1")),
     "r23_halo_tiles": (r23_halo_tiles, _sql("c", select="SELECT tr, tc, count(*) AS n, count(*) FILTER (WHERE y // 64 = tr AND x // 64 = tc) AS own FROM px, range(0, 2) AS a(tr), range(0, 3) AS b(tc) WHERE y BETWEEN tr * 64 - 8 AND tr * 64 + 71 AND x BETWEEN tc * 64 - 8 AND tc * 64 + 71 GROUP BY 1, 2")),
     "r24_sliding_mean": (r24_sliding_mean, _sql("c", select="SELECT r, round(avg(m), 6) AS m FROM (SELECT y // 16 AS r, y, x, avg(m) AS m FROM px JOIN (SELECT wr, wc, avg(b8_a) AS m FROM px, range(0, 6) AS a(wr), range(0, 9) AS b(wc) WHERE y BETWEEN wr * 16 AND wr * 16 + 31 AND x BETWEEN wc * 16 AND wc * 16 + 31 GROUP BY 1, 2) ON y BETWEEN wr * 16 AND wr * 16 + 31 AND x BETWEEN wc * 16 AND wc * 16 + 31 GROUP BY y, x) GROUP BY r")),
