@@ -13,7 +13,8 @@ by 64-bit hashes.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +25,13 @@ WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 # Each rule: name -> condition over the measurements that means failure.
-RULES: dict[str, str] = {
-    "few_words": "n_words < 50",
-    "repeated_windows": "100 * n_repeat_words > 50 * n_words",
-    "symbols": "100 * n_symbols > 20 * word_chars",
-    "duplicate_lines": "100 * n_dup_lines > 50 * n_lines",
-    "word_length": "word_chars < 2 * n_words or word_chars > 15 * n_words",
-    "shouting": "100 * n_capitals > 50 * word_chars",
+RULES: dict[str, Callable[[Column], Column]] = {
+    "few_words": lambda m: m.n_words < 50,
+    "repeated_windows": lambda m: 100 * m.n_repeat_words > 50 * m.n_words,
+    "symbols": lambda m: 100 * m.n_symbols > 20 * m.word_chars,
+    "duplicate_lines": lambda m: 100 * m.n_dup_lines > 50 * m.n_lines,
+    "word_length": lambda m: (m.word_chars < 2 * m.n_words) | (m.word_chars > 15 * m.n_words),
+    "shouting": lambda m: 100 * m.n_capitals > 50 * m.word_chars,
 }
 BITS = {name: 1 << k for k, name in enumerate(RULES)}
 BASE = BITS["few_words"] | BITS["repeated_windows"]
@@ -90,24 +91,17 @@ def measures(text: Column) -> Column:
     return let(text, of)
 
 
-def _failed(condition: str, m: str) -> Column:
-    return F.expr(re.sub(r"\b(n_\w+|word_chars)\b", rf"{m}.\1", condition))
-
-
-def _with_bits(docs: DataFrame, text: str) -> tuple[DataFrame, str, str]:
-    m, bits = fresh(docs, "measured", "fail_bits")
-    out = docs.withColumn(m, measures(F.col(f"`{text}`")))
-    flags = [F.when(_failed(rule, m), F.lit(BITS[name])).otherwise(F.lit(0)) for name, rule in RULES.items()]
-    total = flags[0]
-    for flag in flags[1:]:
-        total = total.bitwiseOR(flag)
-    return out.withColumn(bits, total.cast("long")), m, bits
+def failure_bits(m: Column) -> Column:
+    """One bit per rule that the measurements fail."""
+    flags = [F.when(rule(m), F.lit(BITS[name])).otherwise(F.lit(0)) for name, rule in RULES.items()]
+    return reduce(lambda a, b: a.bitwiseOR(b), flags).cast("long")
 
 
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, measurements and ``fail_bits``, one row per row of ``docs``."""
-    out, m, bits = _with_bits(docs.select(F.col(key), F.col(text)), text)
-    return out.select(key, f"{m}.*", F.col(bits).alias("fail_bits"))
+    (m,) = fresh(docs, "measured")
+    out = docs.select(F.col(key), measures(F.col(f"`{text}`")).alias(m))
+    return out.select(key, f"{m}.*", failure_bits(F.col(m)).alias("fail_bits"))
 
 
 def verdicts(ledger: DataFrame, policy: str) -> DataFrame:
@@ -138,5 +132,5 @@ def ablations(ledger: DataFrame, policy: str) -> DataFrame:
 
 def keep(docs: DataFrame, policy: str = "v2", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that a policy keeps, with their own columns."""
-    out, _, bits = _with_bits(docs, text)
-    return out.filter(F.col(bits).bitwiseAND(F.lit(POLICIES[policy])) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mask = F.lit(POLICIES[policy])
+    return docs.filter(let(measures(F.col(f"`{text}`")), lambda m: failure_bits(m).bitwiseAND(mask) == 0))
