@@ -35,15 +35,30 @@ def _ranks(names: np.ndarray) -> np.ndarray:
     return np.unique(names, return_inverse=True)[1] + 1
 
 
+def _joined(*columns: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the tuples of non-negative ``columns``, equal for equal
+    tuples. The fields are as wide as the largest values need; where they don't fit,
+    what is joined so far is replaced by its ranks."""
+    out = columns[0]
+    for c in columns[1:]:
+        bits = int(c.max(initial=0)).bit_length()
+        if int(out.max(initial=0)).bit_length() + bits > 63:
+            out = _ranks(out)
+        if int(out.max(initial=0)).bit_length() + bits > 63:
+            raise ValueError("two numbers of a tuple need more than 63 bits")
+        out = (out << bits) | c
+    return out
+
+
 def suffix_array(s: np.ndarray, depth: int, reach: int = 1) -> np.ndarray:
-    """Suffixes of ``s`` (numbers from 1, fewer than 2**21) in the order of their first
-    ``depth`` characters at least; ``reach`` is how many a number stands for."""
+    """Suffixes of ``s`` (numbers from 1) in the order of their first ``depth``
+    characters at least; ``reach`` is how many a number stands for."""
     n = len(s)
     if n < 6:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
     t = np.concatenate([s.astype(np.int64), np.zeros(4, np.int64)])
     sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
-    names = _ranks((t[sample] << 42) | (t[sample + 1] << 21) | t[sample + 2])
+    names = _ranks(_joined(t[sample], t[sample + 1], t[sample + 2]))
     if 3 * reach < depth and names.max() < len(names):
         order = suffix_array(names, depth, 3 * reach)
         names = np.empty(len(names), np.int64)
@@ -53,14 +68,16 @@ def suffix_array(s: np.ndarray, depth: int, reach: int = 1) -> np.ndarray:
     sampled = sample[np.argsort(names, kind="stable")]
     sampled = sampled[sampled < n]
     rest = np.arange(0, n, 3)
-    rest = rest[np.argsort(t[rest] * (n + 2) + rank[rest + 1], kind="stable")]
+    rest = rest[np.argsort(_joined(t[rest], rank[rest + 1]), kind="stable")]
 
     # how many sampled suffixes come before each remaining one: of positions 1 modulo 3 by
     # a character and a rank, of positions 2 by two characters and a rank
     one, two = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
-    by_one = lambda p: (t[p] << 21) | rank[p + 1]
-    by_two = lambda p: (t[p] << 42) | (t[p + 1] << 21) | rank[p + 2]
-    lo = np.searchsorted(np.sort(by_one(one)), by_one(rest)) + np.searchsorted(np.sort(by_two(two)), by_two(rest))
+    lo = np.zeros(len(rest), np.int64)
+    for p in (one, two):
+        both = np.append(p, rest)  # joined at once, so that the numbers can be compared
+        key = _joined(t[both], rank[both + 1]) if p is one else _joined(t[both], t[both + 1], rank[both + 2])
+        lo += np.searchsorted(np.sort(key[: len(p)]), key[len(p) :])
     out = np.empty(n, np.int64)
     at = np.maximum.accumulate(lo) + np.arange(len(rest))  # ties reach beyond the depth in any order
     free = np.ones(n, bool)

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strataspan.llm import phrases, queries, suffixes
+from strataspan.llm.repeats import Fragments
 
 from .cases import documents, odd_texts
 
@@ -94,6 +95,31 @@ def test_words_planted(spark):
     assert phrases.remove_recurring(docs.limit(0)).count() == 0
 
 
+def test_one_anchor_with_megabytes():
+    """A common run of 20 bytes with distinct surroundings: one key, over 4 MB of fragments."""
+    rng, anchor = random.Random(3), b"licensed under terms"
+    sides = [bytes(rng.choices(range(97, 123), k=30)) for _ in range(30_000)]
+    contents = {rng.choice(sides) + anchor + rng.choice(sides) for _ in range(56_000)}
+    texts = [(d, t) for d, t in enumerate(sorted(contents, key=lambda t: (hash_of(t), t)))]
+    assert sum(len(t) for _, t in texts) > 4 << 20
+    count = len(texts)
+    numbers = [np.full(count, 7, np.uint64), np.arange(count), np.arange(count), np.zeros(count, int), np.full(count, 31), np.ones(count, np.uint8), np.full(count, 80)]
+    i, a, b = suffixes.earlier()(Fragments(*numbers, np.frombuffer(b"".join(t for _, t in texts), np.uint8)))
+    got = {}
+    for f, x, y in zip(i.tolist(), a.tolist(), b.tolist(), strict=True):
+        got.setdefault(f, set()).update(range(x, y))
+    least = {}
+    for d, t in texts:
+        for x in range(31):
+            least.setdefault(t[x : x + 50], d)
+    want = {d: {y for x in range(31) if least[t[x : x + 50]] < d for y in range(x, x + 50)} for d, t in texts}
+    assert got == {d: w for d, w in want.items() if w}
+
+
+def hash_of(text):
+    return hashlib.md5(text).digest()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 3), max_size=120))
 def test_suffix_array(values):
