@@ -254,8 +254,17 @@ def classes_of(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataF
 
 
 def keep_one(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their group, with their own
-    columns; of rows that repeat a doc_id all stay or all go."""
-    (key,) = fresh(docs, "kept_id")
-    found = classes_of(docs, n, percent).filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == F.col(key), "left_semi")
+    """One row of each group of similar ones, with its own columns: that with the smallest
+    doc_id, null ids last. Rows are known by id and text; of equal rows one stays, but rows
+    with an empty set are linked with nothing and all stay."""
+    (key,) = fresh(docs, "row_key")
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keyed = docs.withColumn(key, row)
+    found = classes_of(keyed.select(F.col(key).alias("doc_id"), F.col("text")), n, percent)
+    found = materialise(found.groupBy(F.col("doc_id").alias(key), "n_shingles", "component_id").agg(F.count("*").alias("copies")), "jaccard-rows")
+    ids = keyed.select(key, F.col("doc_id").cast("long").alias("id")).distinct()
+    best = found.filter("n_shingles > 0").join(ids, key).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", key))[key].alias(key))
+    best = materialise(best.join(found.select(key, "copies"), key).select(key, "copies"), "jaccard-kept")
+    single = best.filter("copies = 1").select(key).unionByName(found.filter("n_shingles = 0").select(key))
+    repeated = keyed.join(best.filter("copies > 1"), key, "left_semi").dropDuplicates([key])
+    return keyed.join(single, key, "left_semi").unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

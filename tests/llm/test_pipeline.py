@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 
 import corpus_pipeline
-from strataspan.llm import decontam, queries, sql
+from strataspan.llm import decontam, jaccard, queries, sql
 
 from ..compare import assert_same
 from .cases import documents, odd_texts
@@ -65,6 +65,20 @@ def test_stages_take_odd_rows(spark, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Null ids, repeated rows and rows that share an id only."""
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(None, x), (None, y), (None, y + " end"), (4, z), (4, z), (4, z + " end"), (5, z), (6, "one"), (6, "two"), (None, None), (None, ""), (7, ""), (7, "")]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, n_chars long")
+    out = jaccard.keep_one(docs)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sum(t in (y, y + " end") for _, t in got) == 1 and sum((t or "").startswith("z") for _, t in got) == 1
+    assert [d for d, t in got if (t or "").startswith("z")] == [4]
+    rest = [(d, t) for d, t in got if not (t or "").startswith(("y", "z"))]
+    assert sorted(map(str, rest)) == sorted(map(str, [rows[0], *rows[7:]]))
+
+
 def test_decontamination_odd(spark):
     docs = documents(spark, [*odd_texts(), "x one two three four y", "alpha0 béta0", "b c"])
     bench = spark.createDataFrame(pd.DataFrame({"item_id": [1, 2, 3, 4, 4], "text": ["", "One two three four", " ".join(f"alpha{i} béta{i}" for i in range(3, 20)), "b", "b"]}))
