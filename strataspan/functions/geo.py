@@ -9,8 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The WGS84 ellipsoid, the mercator sphere and the ground size of a
 # zoom-0 pixel, degrees in metres at the equator.
@@ -19,7 +22,7 @@ R_MERCATOR = 6378137.0
 METRES_PER_PIXEL_Z0 = 156543.03392
 DEGREE_X, DEGREE_Y = 111320.0, 110540.0
 
-FLAT = 1 / INVERSE_F
+FLAT, ROUNDS = 1 / INVERSE_F, 12
 B = A * (1 - FLAT)
 
 
@@ -305,48 +308,45 @@ def buffer_area_km2(radius_m: Column, quadrant_segments: int = 64) -> Column:
 # --- geodesic distance ----------------------------------------------------------------
 
 
-def geodesic_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: int = 12) -> Column:
-    """Metres along the ellipsoid (Vincenty's inverse, a fixed number of rounds). Nearly
-    antipodal points don't converge; equal points give 0."""
-    u1, u2 = F.atan((1 - FLAT) * F.tan(F.radians(lat1))), F.atan((1 - FLAT) * F.tan(F.radians(lat2)))
-    fixed = F.struct(
-        F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), F.radians(lon2 - lon1).alias("l")
-    )
-
-    def angles(k: Column, lam: Column, then: Callable[[Column], Column]) -> Column:
-        across = k.c2 * F.sin(lam)
-        along = k.c1 * k.s2 - k.s1 * k.c2 * F.cos(lam)
-
-        def more(a: Column) -> Column:
-            return let(
-                F.struct(
-                    a.ss.alias("ss"), a.cs.alias("cs"), F.atan2(a.ss, a.cs).alias("sigma"), a.sa.alias("sa"), (1 - a.sa * a.sa).alias("c2a"),
-                    F.when(1 - a.sa * a.sa > 1e-15, a.cs - 2 * k.s1 * k.s2 / (1 - a.sa * a.sa)).otherwise(0.0).alias("cm"),
-                ),
-                then,
-            )
-
-        return let(
-            F.struct(F.greatest(F.sqrt(across * across + along * along), F.lit(1e-300)).alias("ss"), (k.s1 * k.s2 + k.c1 * k.c2 * F.cos(lam)).alias("cs")),
-            lambda a: let(F.struct(a.ss.alias("ss"), a.cs.alias("cs"), (k.c1 * k.c2 * F.sin(lam) / a.ss).alias("sa")), more),
-        )
-
-    def next_lam(k: Column, lam: Column) -> Column:
-        def of(a: Column) -> Column:
-            c = FLAT / 16 * a.c2a * (4 + FLAT * (4 - 3 * a.c2a))
-            return k.l + (1 - c) * FLAT * a.sa * (a.sigma + c * a.ss * (a.cm + c * a.cs * (-1 + 2 * a.cm * a.cm)))
-
-        return angles(k, lam, of)
-
-    def length(a: Column) -> Column:
-        u = a.c2a * ((A * A - B * B) / (B * B))
-        big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
-        big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-        inner = a.cm + big_b / 4 * (a.cs * (-1 + 2 * a.cm * a.cm) - big_b / 6 * a.cm * (-3 + 4 * a.ss * a.ss) * (-3 + 4 * a.cm * a.cm))
-        return B * big_a * (a.sigma - big_b * a.ss * inner)
-
-    def solved(k: Column) -> Column:
-        lam = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), k.l, lambda lam, _: next_lam(k, lam))
-        return let(lam, lambda x: angles(k, x, length))
-
-    return F.when((lon1 == lon2) & (lat1 == lat2), F.lit(0.0)).otherwise(let(fixed, solved))
+@F.pandas_udf(T.DoubleType())
+def _inverse(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
+    """Vincenty's inverse for whole batches, until no row moves any more."""
+    x1, y1, x2, y2 = (np.radians(c.to_numpy(float)) for c in (lon1, lat1, lon2, lat2))
+    r1, r2 = np.arctan((1 - FLAT) * np.tan(y1)), np.arctan((1 - FLAT) * np.tan(y2))
+    s1, c1, s2, c2, start = np.sin(r1), np.cos(r1), np.sin(r2), np.cos(r2), x2 - x1
+    lam = start
+    with np.errstate(invalid="ignore"):
+        for _ in range(ROUNDS):
+            ss = np.maximum(np.hypot(c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam)), 1e-300)
+            cs = s1 * s2 + c1 * c2 * np.cos(lam)
+            sigma, sa = np.arctan2(ss, cs), c1 * c2 * np.sin(lam) / ss
+            c2a = 1 - sa * sa
+            cm = np.where(c2a > 1e-15, cs - 2 * s1 * s2 / np.where(c2a > 1e-15, c2a, 1.0), 0.0)
+            k = FLAT / 16 * c2a * (4 + FLAT * (4 - 3 * c2a))
+            last, lam = lam, start + (1 - k) * FLAT * sa * (sigma + k * ss * (cm + k * cs * (2 * cm * cm - 1)))
+            if not (np.abs(lam - last) > 1e-13).any():
+                break
+        u = c2a * (A * A - B * B) / (B * B)
+        scale = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+        bend = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+        less = bend * ss * (cm + bend / 4 * (cs * (2 * cm * cm - 1) - bend / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
+        out = B * scale * (sigma - less)
+    return pd.Series(np.where((x1 == x2) & (y1 == y2), 0.0, out)).where(~np.isnan(x1 + x2 + y1 + y2))
+
+
+def geodesic_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Metres along the ellipsoid (Vincenty's inverse, a fixed number of rounds at most), in
+    Arrow batches. Nearly antipodal points don't converge; equal points give 0, nulls null."""
+    return _inverse(*[c.cast("double") for c in (lon1, lat1, lon2, lat2)])
+
+
+def chord_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Straight distance of two points of the ellipsoid, never longer than the way along it."""
+
+    def place(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+        sin, cos = F.sin(F.radians(lat)), F.cos(F.radians(lat))
+        e2 = FLAT * (2 - FLAT)
+        n = A / F.sqrt(1 - e2 * sin * sin)
+        return n * cos * F.cos(F.radians(lon)), n * cos * F.sin(F.radians(lon)), n * (1 - e2) * sin
+
+    return F.sqrt(sum(((a - b) * (a - b) for a, b in zip(place(lon1, lat1), place(lon2, lat2), strict=True)), F.lit(0.0)))

@@ -1,10 +1,9 @@
-"""Symbology: kinds of data, palettes, style expressions, bands of words."""
+"""Symbology as tables: profiles of columns, decisions joined to palettes, style expressions,
+bands of words. Every step is a DataFrame with one row for each column."""
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,70 +22,99 @@ MEANINGS = {
 RATIO_BANDS = [(0.02, "轻微"), (0.08, "中等"), (None, "显著")]
 AREA_BANDS = [(0.5, "轻微"), (2.0, "中等"), (None, "显著")]
 NOISE_BANDS = [(0.5, "低"), (0.8, "中"), (None, "高")]
-CATEGORIES, OTHER, CLEAR = 10, "#CCCCCC", "#00000000"
-
-
-def profile(df: DataFrame, column: str, labels: list[str] | None = None) -> dict:
-    """kind (binary, categorical, diverging, sequential), range and classes of a column."""
-    kind = df.schema[column].dataType
-    value = F.col(column)
-    whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        value = F.when(~F.isnan(value), value)
-    number = value.cast("double")
-    # one more class than fits tells enough, whatever the column holds
-    classes = sorted(r[0] for r in df.filter(value.isNotNull()).select(value.alias("v")).distinct().limit(CATEGORIES + 1).collect()) if whole else []
-    lo, hi = df.agg(F.min(number), F.max(number)).first()
-    if isinstance(kind, T.BooleanType):
-        name = "binary"
-    elif whole and len(classes) <= CATEGORIES:
-        name = "categorical"
-    else:
-        name, classes = ("diverging" if lo is not None and lo < 0 < hi else "sequential"), []
-    return {"kind": name, "min": lo, "max": hi, "classes": classes, "labels": labels or []}
-
-
-def choose(data: dict) -> dict:
-    """Palette and colours for a profile. Colours by meaning come first; the other classes
-    take the qualitative palette in turn, from its start again where it ends."""
-    kind, labels = data["kind"], data["labels"]
-    if kind == "binary":
-        return {"palette": "meaning", "colors": [CLEAR, MEANINGS["变化"]], "safe": False}
-    if kind == "categorical":
-        named = [MEANINGS.get(label) for label in (labels + [""] * len(data["classes"]))[: len(data["classes"])]]
-        plain = iter(range(len(named)))
-        colors = [c or PALETTES["Set2"][next(plain) % len(PALETTES["Set2"])] for c in named]
-        hits = sum(c is not None for c in named)
-        return {"palette": "meaning" if hits == len(named) and hits else "Set2+meaning" if hits else "Set2", "colors": colors, "safe": False}
-    text = "".join(labels)
-    name = "RdBu" if kind == "diverging" else "Greens" if "植被" in text else "OrRd" if any(k in text for k in ("风险", "密度", "热度")) else "YlGnBu"
-    return {"palette": name, "colors": PALETTES[name], "safe": True}
-
-
-def css(color: str) -> str:
-    if re.fullmatch("#[0-9A-Fa-f]{8}", color):
-        r, g, b, a = (int(color[i : i + 2], 16) for i in (1, 3, 5, 7))
-        return f"rgba({r},{g},{b},{a / 255:.3f})"
-    return color
-
-
-def blend(colors: list[str], at: float) -> str:
-    """The colour at 0..1 along a list of colours."""
-    place = at * (len(colors) - 1)
-    i = min(int(place), len(colors) - 2)
-    one, two = ([int(c[k : k + 2], 16) for k in (1, 3, 5)] for c in colors[i : i + 2])
-    return "#" + "".join(f"{round(x + (y - x) * (place - i)):02x}" for x, y in zip(one, two, strict=True))
-
-
-def style(data: dict, plan: dict, field: str, steps: int = 5) -> dict:
-    """A fill expression: matches for classes, interpolation for ranges."""
-    if data["kind"] in ("categorical", "binary"):
-        classes = data["classes"] or [False, True]
-        pairs = [x for c, color in zip(classes, plan["colors"], strict=False) for x in (c, css(color))]
-        return {"fill-color": ["match", ["get", field], *pairs, OTHER]}
-    span = data["max"] - data["min"]
-    stops = [x for k in range(steps) for x in (round(data["min"] + span * k / (steps - 1), 4), blend(plan["colors"], k / (steps - 1)))]
-    return {"fill-color": ["interpolate", ["linear"], ["get", field], *stops]}
+CATEGORIES, OTHER, CLEAR, STOPS = 10, "#CCCCCC", "#00000000", 5
+# Palette by kind and by a hint among the labels, the first match counts.
+DECISIONS = [
+    ("binary", "", "semantic(binary)", False),
+    ("categorical", "", "Set2", False),
+    ("diverging", "", "RdBu", True),
+    ("sequential", "植被", "Greens", True),
+    ("sequential", "风险|密度|热度", "OrRd", True),
+    ("sequential", "", "YlGnBu", True),
+]
+_TYPES = {T.BooleanType: "flag", T.ByteType: "whole", T.ShortType: "whole", T.IntegerType: "whole", T.LongType: "whole"}
+
+
+def profiles(df: DataFrame, columns: list[str], labels: dict[str, list[str]] | None = None) -> DataFrame:
+    """col, kind (binary, categorical, diverging, sequential), lo, hi, classes (of categorical
+    columns, in order) and labels, from one pass over the columns' distinct values. NaN and
+    nulls are left out."""
+    cells = [
+        F.struct(F.lit(c).alias("col"), F.lit(_TYPES.get(type(df.schema[c].dataType), "real")).alias("type"), F.col(c).cast("double").alias("v")) for c in columns
+    ]
+    values = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").distinct().filter("v is not null and not isnan(v)")
+    some = values.withColumn("no", F.row_number().over(Window.partitionBy("col").orderBy("v"))).filter(F.col("no") <= CATEGORIES)
+    classes = some.groupBy("col").agg(F.array_sort(F.collect_list("v")).alias("classes"))
+    spans = values.groupBy("col", "type").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    few = (F.col("type") == "whole") & (F.col("n") <= CATEGORIES)
+    kind = F.when(F.col("type") == "flag", "binary").when(few, "categorical").when((F.col("lo") < 0) & (F.col("hi") > 0), "diverging").otherwise("sequential")
+    named = [x for c, ls in (labels or {}).items() for x in (F.lit(c), F.array(*map(F.lit, ls)).cast("array<string>"))]
+    given = F.coalesce(F.create_map(*named)[F.col("col")] if named else F.lit(None).cast("array<string>"), F.array().cast("array<string>"))
+    kept = F.when(F.col("kind") == "categorical", F.transform("classes", lambda v: v.cast("long").cast("string"))).otherwise(F.array().cast("array<string>"))
+    out = spans.withColumn("kind", kind).join(classes, "col")
+    return out.select("col", "kind", "lo", "hi", kept.alias("classes"), given.alias("labels"))
+
+
+def palettes(spark: SparkSession) -> DataFrame:
+    """palette, step, color."""
+    return spark.createDataFrame([(k, i, c) for k, cs in PALETTES.items() for i, c in enumerate(cs)], "palette string, step int, color string")
+
+
+def plans(profiled: DataFrame) -> DataFrame:
+    """The profiles with palette, safe (for the colour-blind) and colors. Classes whose label
+    has a colour by meaning take it; the others take Set2 in turn, from its start again
+    where it ends."""
+    spark = profiled.sparkSession
+    rules = spark.createDataFrame([(i, *d) for i, d in enumerate(DECISIONS)], "turn int, kind string, hint string, palette string, safe boolean")
+    met = profiled.join(rules, "kind").filter(F.rlike(F.array_join("labels", ""), F.col("hint")))
+    met = met.groupBy(*profiled.columns).agg(F.min_by(F.struct("palette", "safe"), "turn").alias("d")).select(*profiled.columns, "d.*")
+
+    colors = palettes(spark)
+    ramps = colors.groupBy("palette").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "color"))), lambda x: x.color).alias("ramp"))
+    meanings = spark.createDataFrame(list(MEANINGS.items()), "label string, own string")
+    each = profiled.select("col", F.posexplode("classes").alias("no", "class"), "labels").select("col", "no", F.get("labels", F.col("no")).alias("label"))
+    each = each.join(meanings, "label", "left")
+    turn = F.row_number().over(Window.partitionBy("col", F.col("own").isNull()).orderBy("no")) - 1
+    plain = colors.filter("palette = 'Set2'").select("step", "color")
+    each = each.withColumn("step", F.pmod(turn, F.lit(len(PALETTES["Set2"])))).join(plain, "step")
+    painted = each.groupBy("col").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("no", F.coalesce("own", "color").alias("c")))), lambda x: x.c).alias("painted"),
+        F.count("own").alias("hits"),
+        F.count("*").alias("n"),
+    )
+    out = met.join(ramps, "palette", "left").join(painted, "col", "left")
+    name = F.when((F.col("kind") != "categorical") | (F.coalesce("hits", F.lit(0)) == 0), F.col("palette")).when(F.col("hits") == F.col("n"), "semantic").otherwise("Set2+semantic")
+    shades = F.when(F.col("kind") == "binary", F.array(F.lit(CLEAR), F.lit(MEANINGS["变化"]))).when(F.col("kind") == "categorical", F.col("painted")).otherwise(F.col("ramp"))
+    return out.select(*profiled.columns, name.alias("palette"), "safe", shades.alias("colors"))
+
+
+def css(color: Column) -> Column:
+    """``#RRGGBBAA`` as rgba(), other colours as they are."""
+    alpha = F.conv(F.substring(color, 8, 2), 16, 10).cast("double") / 255
+    return F.when(F.length(color) == 9, F.format_string("rgba(%d,%d,%d,%.3f)", *[channel(color, k) for k in range(3)], alpha)).otherwise(color)
+
+
+def blend(colors: Column, at: Column) -> Column:
+    """The colour at 0..1 along an array of colours, in 256 steps."""
+    place = F.least(F.floor(at * 256), F.lit(255)) / 255 * (F.size(colors) - 1)
+    i = F.least(F.floor(place), F.size(colors) - 2).cast("int")
+    mixed = [F.round(channel(F.get(colors, i), k) + (channel(F.get(colors, i + 1), k) - channel(F.get(colors, i), k)) * (place - i)).cast("int") for k in range(3)]
+    return F.format_string("#%02x%02x%02x", *mixed)
+
+
+def styles(planned: DataFrame, stops: int = STOPS) -> DataFrame:
+    """col, style: a fill expression as JSON, matches for classes and interpolation for ranges."""
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    keys = F.when(F.col("kind") == "binary", F.array(F.lit("false"), F.lit("true"))).otherwise(F.col("classes"))
+    matches = F.transform(F.arrays_zip(keys.alias("k"), F.col("colors").alias("c")), lambda x: F.concat(x.k, F.lit(","), quoted(css(x.c))))
+    part = lambda k: k.cast("double") / (stops - 1)
+    value = lambda k: F.round(F.col("lo") + (F.col("hi") - F.col("lo")) * part(k), 4).cast("string")
+    ramp = F.transform(F.sequence(F.lit(0), F.lit(stops - 1)), lambda k: F.concat(value(k), F.lit(","), quoted(blend(F.col("colors"), part(k)))))
+    get = F.concat(F.lit('["get","'), "col", F.lit('"]'))
+    by_class = F.concat_ws(",", F.lit('["match"'), get, F.array_join(matches, ","), F.lit(f'"{OTHER}"]'))
+    by_value = F.concat(F.concat_ws(",", F.lit('["interpolate",["linear"]'), get, F.array_join(ramp, ",")), F.lit("]"))
+    fill = F.when(F.col("kind").isin("binary", "categorical"), by_class).otherwise(by_value)
+    return planned.select("col", F.concat(F.lit('{"fill-color":'), fill, F.lit("}")).alias("style"))
 
 
 def band(value: Column, bands: list[tuple[float | None, str]]) -> Column:

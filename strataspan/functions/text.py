@@ -18,6 +18,11 @@ def tokens(text: Column) -> Column:
     return F.concat(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1)), F.regexp_extract_all(text, F.lit("([一-鿿])"), F.lit(1)))
 
 
+def token_count(text: Column) -> Column:
+    """How many ``tokens`` a text has; null texts have none."""
+    return F.coalesce(F.regexp_count(F.lower(text), F.lit("[a-z0-9_]+")) + F.regexp_count(text, F.lit("[一-鿿]")), F.lit(0))
+
+
 def _replacing(old: str, new: str):
     return lambda p: F.replace(p, F.lit(old), F.lit(new))
 
@@ -36,7 +41,7 @@ def html_text(html: Column) -> Column:
 
 def first_heading(text: Column, fallback: Column) -> Column:
     """The first heading of one to three #, else the fallback."""
-    found = F.trim(F.regexp_extract(text, r"(?m)^#{1,3}\s+(.+)$", 1))
+    found = F.trim(F.regexp_extract(text, r"(?md)^#{1,3}\s+(.+)$", 1))
     return F.when(found != "", found).otherwise(fallback)
 
 
@@ -64,30 +69,60 @@ def years(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?<!\d)((?:19|20)\d{2})(?!\d)"), F.lit(1)), lambda y: y.cast("int"))))
 
 
-def pieces(text: str, size: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces of at most ``size``: cut at the coarsest separator there is, small neighbours joined again."""
-    if len(text) <= size:
-        return [text] if text else []
-    here = next((i for i, s in enumerate(separators) if s in text), None)
-    if here is None:
-        return [text[i : i + size] for i in range(0, len(text), size)]
-    sep, out, now = separators[here], [], ""
-    for small in (p for part in text.split(sep) for p in pieces(part, size, separators[1:])):
-        joined = f"{now}{sep}{small}" if now else small
-        if len(joined) > size and now:
-            out.append(now)
-            now = small
-        else:
-            now = joined
-    return [*out, now] if now else out
+Unit = tuple[int, str]  # the separator before it (its place in SEPARATORS, -1 at the start), and the unit
+
+
+def finest(text: str, size: int) -> list[Unit]:
+    """Units of at most ``size``: separator by separator, only what is still too long is cut;
+    what no separator cuts is cut at ``size``. Empty units go, and what follows one stands
+    behind the coarser of both separators."""
+    units: list[Unit] = [(-1, text)]
+    for level, sep in enumerate(SEPARATORS):
+        cut: list[Unit] = []
+        for before, unit in units:
+            parts = unit.split(sep) if len(unit) > size else [unit]
+            cut += zip([before] + [level] * (len(parts) - 1), parts, strict=True)
+        units = cut
+    out: list[Unit] = []
+    waiting = len(SEPARATORS)
+    for before, unit in units:
+        waiting = min(waiting, before)
+        for at in range(0, len(unit), size):
+            out.append((len(SEPARATORS) if at else waiting, unit[at : at + size]))
+        if unit:
+            waiting = len(SEPARATORS)
+    return out
+
+
+def pieces(text: str, size: int) -> list[str]:
+    """The units of a text, joined again: from the finest separator to the coarsest, from left
+    to right, neighbours around a separator become one while they fit."""
+    units = finest(text, size)
+    for level in reversed(range(len(SEPARATORS))):
+        sep, fewer = SEPARATORS[level], units[:1]
+        for before, unit in units[1:]:
+            first, last = fewer[-1]
+            if before == level and len(last) + len(sep) + len(unit) <= size:
+                fewer[-1] = (first, last + sep + unit)
+            else:
+                fewer.append((before, unit))
+        units = fewer
+    return [unit for _, unit in units]
+
+
+def with_tails(parts: list[str], overlap: int) -> Iterator[tuple[int, str]]:
+    """(index, part), each behind the last ``overlap`` characters of what came out before it."""
+    tail = ""
+    for i, part in enumerate(parts):
+        whole = tail + part
+        tail = whole[max(0, len(whole) - overlap) :]
+        if not whole.isspace():
+            yield i, whole
 
 
 def chunk_texts(text: str | None, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, str]]:
-    """(index, chunk); each chunk starts with the end of the one before, as that was extended."""
-    out: list[str] = []
-    for piece in pieces((text or "").strip(), size):
-        out.append((out[-1][-overlap:] if out and overlap > 0 else "") + piece)
-    return [(i, c) for i, c in enumerate(out) if c.strip()]
+    """(index, chunk) of a text; null and blank texts have none."""
+    return list(with_tails(pieces((text or "").strip(), size), overlap))
 
 
 def chunks(docs: DataFrame, key: str, text: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -95,8 +130,9 @@ def chunks(docs: DataFrame, key: str, text: str = "text", size: int = CHUNK, ove
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(k, i, c) for k, t in zip(frame[key], frame[text], strict=True) for i, c in chunk_texts(t, size, overlap)]
-            yield pd.DataFrame(rows, columns=[key, "index", "chunk"])
+            cut = frame[text].map(lambda t: chunk_texts(t, size, overlap))
+            rows = frame.assign(_cut=cut)[[key, "_cut"]].explode("_cut").dropna(subset="_cut")
+            yield pd.DataFrame({key: rows[key], "index": rows["_cut"].str[0], "chunk": rows["_cut"].str[1]})
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInPandas(split, f"`{key}` {kind}, index long, chunk string")

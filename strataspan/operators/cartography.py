@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..schemas import RING
+from ..storage import materialise
 
-# Sizes in pixels of a label's characters, line, gap and of a marker; sides in order.
-CHAR_W, LINE_H, GAP, MARKER = 11.55, 13.2, 3.0, 2.0
+# A label's font in pixels, width and height of a character in fonts, gap to the
+# point and half a marker in pixels; sides in order with the direction of the label.
+FONT = 11
+CHAR_W, LINE_H, GAP, MARKER = FONT * 1.05, FONT * 1.2, 3.0, 2.0
 SIDES = [("top-right", 1, 1), ("left", 1, 0), ("bottom-right", 1, -1), ("top", 0, 1), ("top-left", -1, 1), ("right", -1, 0), ("bottom-left", -1, -1), ("bottom", 0, -1)]
 
 
@@ -71,38 +74,64 @@ def generalise(polygons: DataFrame, zoom: float, latitude: float, pixels: float
     return simplify(shown.withColumn("tolerance", F.lit(pixels * mpp)), "ring", "tolerance").drop("tolerance")
 
 
-def place_labels(features: DataFrame, view: list[str], mpp: Column | float) -> DataFrame:
-    """view, name, x, y, side for labels that fit: in each view by priority, area and name,
-    each on the first of eight sides where its box meets no marker and no placed label.
-    Features have view columns, name, x, y, priority, area; a view holds what one map shows."""
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = float(pdf["mpp"].iloc[0])
-        r = MARKER * m
-        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        boxes = np.empty((2 * len(pdf), 4))
-        boxes[: len(pdf)] = np.stack([x - r, y - r, x + r, y + r], 1)
-        used, rows = len(pdf), []
-        order = pdf.assign(_a=-pdf["area"].fillna(0.0)).sort_values(["priority", "_a", "name"], kind="stable")
-        for row in order.itertuples(index=False):
-            if not row.name:
-                continue
-            w, h, g = max(len(row.name), 1) * CHAR_W * m, LINE_H * m, GAP * m
-            for side, dx, dy in SIDES:
-                x0 = row.x + g if dx > 0 else row.x - g - w if dx < 0 else row.x - w / 2
-                y0 = row.y + g if dy > 0 else row.y - g - h if dy < 0 else row.y - h / 2
-                b = boxes[:used]
-                if not ((x0 < b[:, 2]) & (b[:, 0] < x0 + w) & (y0 < b[:, 3]) & (b[:, 1] < y0 + h)).any():
-                    boxes[used] = (x0, y0, x0 + w, y0 + h)
-                    used += 1
-                    rows.append({**{v: pdf[v].iloc[0] for v in view}, "name": row.name, "x": row.x, "y": row.y, "side": side, "x0": x0, "y0": y0, "x1": x0 + w, "y1": y0 + h})
-                    break
-        return pd.DataFrame(rows, columns=[*view, "name", "x", "y", "side", "x0", "y0", "x1", "y1"])
+def _cells(boxes: DataFrame, view: list[str], *keep: str) -> DataFrame:
+    """A row for each grid cell that a box (x0, y0, x1, y1) reaches."""
+    w, h = F.col("mpp") * CHAR_W * 4, F.col("mpp") * LINE_H
+    span = lambda lo, hi, size: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
+    wide = boxes.select(*view, *keep, "y0", "y1", "mpp", F.explode(span("x0", "x1", w)).alias("cx"))
+    return wide.select(*view, *keep, "cx", F.explode(span("y0", "y1", h)).alias("cy"))
+
+
+def _candidates(features: DataFrame) -> DataFrame:
+    """Each feature with the boxes of its label on all sides."""
+    w, h, g = F.length("name") * CHAR_W * F.col("mpp"), F.col("mpp") * LINE_H, F.col("mpp") * GAP
 
-    kinds = ", ".join(f"`{v}` {features.schema[v].dataType.simpleString()}" for v in view)
-    schema = f"{kinds}, name string, x double, y double, side string, x0 double, y0 double, x1 double, y1 double"
-    slim = features.select(*view, "name", "x", "y", "priority", F.col("area").cast("double").alias("area"), (mpp if isinstance(mpp, Column) else F.lit(mpp)).alias("mpp"))
-    return slim.groupBy(*view).applyInPandas(greedy, schema)
+    def low(at: str, direction: int, size: Column) -> Column:
+        return F.col(at) + {1: g, -1: -g - size, 0: -size / 2}[direction]
+
+    boxes = [F.struct(F.lit(i).alias("turn"), F.lit(side).alias("side"), low("x", dx, w).alias("x0"), low("y", dy, h).alias("y0")) for i, (side, dx, dy) in enumerate(SIDES)]
+    out = features.withColumn("box", F.explode(F.array(*boxes))).select(*features.columns, "box.*")
+    return out.withColumns({"x1": F.col("x0") + w, "y1": F.col("y0") + h})
+
+
+def place_labels(features: DataFrame, view: list[str], mpp: Column | float) -> DataFrame:
+    """view, name, x, y, side and box of the labels that fit: in each view by priority, area
+    (large first) and name, each on the first of eight sides where its box meets no marker
+    and no label before it; boxes that only touch don't meet.
+
+    Features have view columns, name, x, y, priority, area. Boxes are posted to grid cells.
+    In every round a label settles on its first free side if it comes first in all cells of
+    that side's box; sides that a settled box covers are lost to later labels. So far-away
+    labels settle at once, a view needs no single task, and a cell holds few settled boxes.
+    Rows without a name only mark their point; equal rows are one; rows without a view are left out."""
+    own = mpp if isinstance(mpp, Column) else F.lit(mpp)
+    slim = features.dropna(subset=view).select(*view, "name", "x", "y", "priority", F.coalesce(F.col("area").cast("double"), F.lit(0.0)).alias("area"), own.cast("double").alias("mpp")).distinct()
+    r = F.col("mpp") * MARKER
+    points = slim.select(*view, "mpp", "x", "y").distinct().select(*view, "mpp", (F.col("x") - r).alias("x0"), (F.col("y") - r).alias("y0"), (F.col("x") + r).alias("x1"), (F.col("y") + r).alias("y1"))
+    named = slim.filter("name <> ''").withColumn("place", F.struct("priority", (-F.col("area")).alias("less"), "name", "x", "y"))
+    box = ["x0", "y0", "x1", "y1"]
+    key = [*view, "place", "turn"]
+    cell = [*view, "cx", "cy"]
+
+    def without_hits(free: DataFrame, taken: DataFrame, later: bool) -> DataFrame:
+        """The candidates that meet none of the taken boxes."""
+        other = _cells(taken, view, *(["place"] if later else []), *box).select(*cell, F.struct(*(["place"] if later else []), *box).alias("t"))
+        here = _cells(free, view, "place", "turn", *box)
+        hit = here.join(other, cell).filter("x0 < t.x1 and t.x0 < x1 and y0 < t.y1 and t.y0 < y1" + (" and place > t.place" if later else ""))
+        return free.join(hit.select(*key).distinct(), key, "left_anti")
+
+    free = materialise(without_hits(_candidates(named), points, False), "label-free")
+    placed = materialise(free.limit(0), "labels")
+    while not free.isEmpty():
+        tried = free.groupBy(*view, "place").agg(F.min("turn").alias("turn"))
+        tried = free.join(tried, [*view, "place", "turn"])
+        firsts = _cells(free, view, "place").groupBy(*cell).agg(F.min("place").alias("first"))
+        blocked = _cells(tried, view, "place").join(firsts, cell).filter("first <> place").select(*view, "place").distinct()
+        settled = materialise(tried.join(blocked, [*view, "place"], "left_anti"), "labels")
+        placed = placed.unionByName(settled)
+        rest = free.join(settled.select(*view, "place"), [*view, "place"], "left_anti")
+        free = materialise(without_hits(rest, settled, True), "label-free")
+    return placed.select(*view, "name", "x", "y", "side", *box)
 
 
 def assemble_rings(parts: DataFrame, key: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 
+METRES_PER_DEGREE = 110_000.0  # a degree of latitude is longer anywhere
+
 
 def _cell(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("long")
@@ -39,36 +41,47 @@ def count_per_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
     return points_in_polygons(points, polygons).groupBy(F.col("polygon_name").alias("name")).agg(F.count("*").alias("cnt"))
 
 
+def _columns(lat_cell: Column, high: float, metres: float) -> Column:
+    """Into how many columns a band of latitude is divided, so that one is as wide as the
+    radius even where the band is nearest to a pole; a band around a pole has one."""
+    top = F.greatest(F.abs(lat_cell * high), F.abs((lat_cell + 1) * high)) + high
+    width = metres / (METRES_PER_DEGREE * F.cos(F.radians(F.least(top, F.lit(90.0)))))
+    return F.when(top >= 90.0, F.lit(1)).otherwise(F.greatest(F.floor(360.0 / width), F.lit(1))).cast("long")
+
+
+def _column(lon: Column, columns: Column) -> Column:
+    """The column of a longitude, counted from the antimeridian."""
+    return F.least(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) * columns / 360.0).cast("long"), columns - 1)
+
+
 def within_distance(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     """left_id, right_id, distance_m for points (id, lon, lat) at most ``metres`` apart
     along the ellipsoid. Cells are as high as the radius; a left point looks into its own
-    and the neighbouring cells."""
-    high = metres / 110_000.0  # a degree of latitude is longer anywhere
+    and the neighbouring cells, across the antimeridian and the poles too. The ellipsoid
+    is only asked for pairs whose chord isn't too long already."""
+    high = metres / METRES_PER_DEGREE
     rows = left.select(F.col("id").alias("left_id"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"))
     near = F.sequence(_cell(F.col("lat1"), high) - 1, _cell(F.col("lat1"), high) + 1)
-    rows = rows.withColumn("cy", F.explode(near))
-    # cells of one band of latitude have one width, which covers the radius at its end nearer the pole
-    def width(cy: Column) -> Column:
-        top = F.least(F.greatest(F.abs(cy * high), F.abs((cy + 1) * high)) + high, F.lit(89.0))
-        return metres / (110_000.0 * F.cos(F.radians(top)))
-
-    rows = rows.withColumn("cx0", F.floor(F.col("lon1") / width(F.col("cy"))).cast("long"))
-    rows = rows.withColumn("cx", F.explode(F.sequence(F.col("cx0") - 1, F.col("cx0") + 1))).drop("cx0")
+    rows = rows.withColumn("cy", F.explode(near)).withColumn("columns", _columns(F.col("cy"), high, metres))
+    own = _column(F.col("lon1"), F.col("columns"))
+    around = F.array_distinct(F.array(*[F.pmod(own + k, F.col("columns")) for k in (-1, 0, 1)]))
+    rows = rows.withColumn("cx", F.explode(around)).drop("columns")
     other = right.select(F.col("id").alias("right_id"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2")).withColumn("cy", _cell(F.col("lat2"), high))
-    other = other.withColumn("cx", F.floor(F.col("lon2") / width(F.col("cy"))).cast("long"))
-    pairs = rows.join(other, ["cx", "cy"])
-    distance = geo.geodesic_m(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"))
-    return pairs.select("left_id", "right_id", distance.alias("distance_m")).filter(F.col("distance_m") <= metres)
+    other = other.withColumn("cx", _column(F.col("lon2"), _columns(F.col("cy"), high, metres)))
+    ends = [F.col(c) for c in ("lon1", "lat1", "lon2", "lat2")]
+    pairs = rows.join(other, ["cx", "cy"]).filter(geo.chord_m(*ends) <= metres)
+    return pairs.select("left_id", "right_id", geo.geodesic_m(*ends).alias("distance_m")).filter(F.col("distance_m") <= metres)
 
 
 def nearby(points: DataFrame, lon: float, lat: float, metres: float, kind: str = "", limit: int = 500) -> DataFrame:
     """The nearest points (id, name, type, lon, lat) of a kind ('' for any) within a radius."""
-    dy = metres / 110_000.0
-    dx = metres / (110_000.0 * math.cos(math.radians(min(89.0, abs(lat) + dy))))
-    box = F.col("lon").between(lon - dx, lon + dx) & F.col("lat").between(lat - dy, lat + dy)
-    wanted = points.filter(box & (F.lit(kind == "") | (F.col("type") == kind)))
-    distance = geo.geodesic_m(F.lit(lon), F.lit(lat), F.col("lon"), F.col("lat"))
-    return wanted.withColumn("distance_m", distance).filter(F.col("distance_m") <= metres).orderBy("distance_m", "id").limit(limit)
+    dy = metres / METRES_PER_DEGREE
+    top = abs(lat) + dy
+    dx = 180.0 if top >= 90.0 else metres / (METRES_PER_DEGREE * math.cos(math.radians(top)))
+    box = (F.abs(F.pmod(F.col("lon") - lon + 180.0, F.lit(360.0)) - 180.0) <= dx) & F.col("lat").between(lat - dy, lat + dy)
+    ends = F.lit(lon), F.lit(lat), F.col("lon"), F.col("lat")
+    wanted = points.filter(box & (geo.chord_m(*ends) <= metres) & (F.lit(kind == "") | (F.col("type") == kind)))
+    return wanted.withColumn("distance_m", geo.geodesic_m(*ends)).filter(F.col("distance_m") <= metres).orderBy("distance_m", "id").limit(limit)
 
 
 def covering_boxes(query: DataFrame, boxes: DataFrame, cell_degrees: float = 1.0) -> DataFrame:

@@ -24,7 +24,7 @@ SCENES = """scene AS (SELECT 'S2_T' || (o_orderkey % 7) || '_' || strftime(o_ord
   o_orderdate AS date, (o_orderkey * 37 % 1000)::DOUBLE / 10.0::DOUBLE AS cloud, w0 AS w, s0 AS s,
   w0 + 0.1::DOUBLE + (o_orderkey * 11 % 30)::DOUBLE / 100.0::DOUBLE AS e, s0 + 0.1::DOUBLE + (o_orderkey * 17 % 20)::DOUBLE / 100.0::DOUBLE AS n,
   CASE WHEN o_orderkey % 2 = 0 THEN 6 ELSE 4 END AS n_bands, o_orderkey AS ordinal
-  FROM (SELECT *, 113.0::DOUBLE + (o_orderkey * 37 % 200)::DOUBLE / 100.0::DOUBLE AS w0, 22.0::DOUBLE + (o_orderkey * 53 % 100)::DOUBLE / 100.0::DOUBLE AS s0 FROM orders) WHERE o_orderkey % 5 = 0)"""
+  FROM (SELECT *, 113.0::DOUBLE + (o_orderkey * 37 % 200)::DOUBLE / 100.0::DOUBLE AS w0, 22.0::DOUBLE + (o_orderkey * 53 % 100)::DOUBLE / 100.0::DOUBLE AS s0 FROM orders))"""
 
 
 def with_(*ctes: str, select: str) -> str:

@@ -73,7 +73,7 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     w = F.lit(113.0) + (k * 37 % 200).cast("double") / 100.0
     s = F.lit(22.0) + (k * 53 % 100).cast("double") / 100.0
-    return load(spark, sf_dir, "orders").filter(k % 5 == 0).select(
+    return load(spark, sf_dir, "orders").select(
         F.concat(F.lit("S2_T"), (k % 7).cast("string"), F.lit("_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_"), k.cast("string")).alias("id"),
         F.concat(F.lit("region"), (F.col("o_custkey") % 3).cast("string")).alias("region"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("date"), ((k * 37 % 1000).cast("double") / 10.0).alias("cloud"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import random
 import tempfile
 
 import pandas as pd
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from strataspan.functions import geo, raster, symbology, text
 from strataspan.operators import cartography, patches, retrieval, spatial_join
 from strataspan.plans import intents, report, safe_sql
+from strataspan.queries.spatial import QUERIES as QUERIES_SPATIAL
+from strataspan.queries.texts import QUERIES
 from strataspan.sources import files
 from strataspan.sources.tables import districts, load, points, register, safe_path
 from strataspan.sources.vector_store import VectorStore
@@ -75,15 +79,19 @@ def test_themes():
         raster.theme("unknown")
 
 
-def test_symbology():
-    assert symbology.blend(["#000000", "#ffffff"], 0.5) == "#808080" and symbology.css("#00000000") == "rgba(0,0,0,0.000)"
-    nine = {"kind": "categorical", "min": 0, "max": 9, "classes": list(range(10)), "labels": ["水", "城市"]}
-    plan = symbology.choose(nine)
-    assert len(plan["colors"]) == 10 and plan["palette"] == "Set2+meaning" and plan["colors"][0] == "#3787C0"
-    assert symbology.style(nine, plan, "k")["fill-color"][:2] == ["match", ["get", "k"]]
-    data = {"kind": "sequential", "min": 0.0, "max": 1.0, "classes": [], "labels": ["植被"]}
-    assert symbology.choose(data)["palette"] == "Greens"
-    assert symbology.style(data, symbology.choose(data), "v")["fill-color"][-2:] == [1.0, "#006d2c"]
+def test_symbology(spark):
+    rows = [(i % 10, float(i) / 99, i % 2 == 0, float(i - 50), None if i else float("nan")) for i in range(100)]
+    df = spark.createDataFrame(rows, "k int, v double, b boolean, d double, none double")
+    found = symbology.profiles(df, ["k", "v", "b", "d", "none"], {"k": ["水", "城市"], "v": ["植被"]})
+    plans = {r.col: r for r in symbology.plans(found).collect()}
+    assert {c: r.palette for c, r in plans.items()} == {"k": "Set2+semantic", "v": "Greens", "b": "semantic(binary)", "d": "RdBu"}
+    assert len(plans["k"].colors) == 10 and plans["k"].colors[:3] == ["#3787C0", "#8C8C8C", "#66C2A5"]
+    said = {r.col: json.loads(r.style)["fill-color"] for r in symbology.styles(symbology.plans(found)).collect()}
+    assert said["k"][:4] == ["match", ["get", "k"], 0, "#3787C0"] and said["k"][-1] == "#CCCCCC"
+    assert said["b"] == ["match", ["get", "b"], False, "rgba(0,0,0,0.000)", True, "#E24B4A", "#CCCCCC"]
+    assert said["v"][:3] == ["interpolate", ["linear"], ["get", "v"]] and said["v"][-2:] == [1.0, "#006d2c"]
+    half = spark.range(1).select(symbology.blend(F.array(F.lit("#000000"), F.lit("#ffffff")), F.lit(0.5)).alias("c")).first().c
+    assert half == "#808080"
 
 
 def test_geodesic_and_projection(spark):
@@ -111,6 +119,38 @@ def test_join_equals_cross_product(spark, sf_dir):
         assert sorted(map(tuple, cells.collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_distance_join_across_antimeridian_and_poles(spark):
+    rng = random.Random(9)
+    spots = [(179.99, 10.0), (-179.995, 10.01), (0.0, 89.95), (180.0, 89.96), (90.0, 90.0), (-60.0, -89.99), (120.0, -89.98), (12.0, 89.5), (14.0, 89.5)]
+    spots += [(rng.uniform(179.8, 180.2), rng.uniform(60, 61)) for _ in range(60)]
+    p = spark.createDataFrame([(i, (x + 180) % 360 - 180, y) for i, (x, y) in enumerate(spots)], "id long, lon double, lat double")
+    q = p.select(F.col("id").alias("right_id"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    m = geo.geodesic_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
+    every = {(r[0], r[1]): r[2] for r in p.crossJoin(q).select("id", "right_id", m).collect()}
+    for radius in (5_000.0, 20_000.0):
+        got = {(r.left_id, r.right_id): r.distance_m for r in spatial_join.within_distance(p, p, radius).collect()}
+        assert got == {k: v for k, v in every.items() if v <= radius} and len(got) > len(spots)
+        near = {r.id for r in spatial_join.nearby(p.withColumns({"name": F.lit("n"), "type": F.lit("t")}), 179.999, 10.0, radius).collect()}
+        assert near == {0, 1}
+
+
+def test_clipped_districts(spark, sf_dir):
+    """g5 against cutting each ring by the box's four sides."""
+    west, south, east, north = 113.76, 22.44, 114.0, 22.6
+    sides = [(1, 0, west), (-1, 0, -east), (0, 1, south), (0, -1, -north)]
+    for r in QUERIES_SPATIAL["g5_intersection"][0](spark, sf_dir).join(districts(spark, sf_dir), "id").collect():
+        ring = [(p.x, p.y) for p in r.ring[:-1]]
+        for a, b, c in sides:
+            cut = []
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+                d1, d2 = a * x1 + b * y1 - c, a * x2 + b * y2 - c
+                cut += [(x1, y1)] if d1 >= 0 else []
+                cut += [(x1 + (x2 - x1) * d1 / (d1 - d2), y1 + (y2 - y1) * d1 / (d1 - d2))] if d1 * d2 < 0 else []
+            ring = cut
+        area = abs(sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
+        assert abs(r.area - area) < 2e-8, r.id
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab \n。，", max_size=900))
 def test_chunks(t):
@@ -121,6 +161,45 @@ def test_chunks(t):
     assert "".join(c for c in t if c in "ab") == "".join(c for p in parts for c in p if c in "ab")
 
 
+def plain_chunks(t, size=300, overlap=60):
+    """The stated behaviour by recursion over strings."""
+
+    def cut(part, level):
+        if len(part) <= size:
+            return [part] if part else []
+        if level == len(text.SEPARATORS):
+            return [part[:size], *cut(part[size:], level)]
+        sep, rows = text.SEPARATORS[level], []
+        if sep not in part:
+            return cut(part, level + 1)
+        for small in (q for p in part.split(sep) for q in cut(p, level + 1)):
+            if rows and len(rows[-1] + sep + small) <= size:
+                rows[-1] += sep + small
+            else:
+                rows.append(small)
+        return rows
+
+    out = []
+    for p in cut((t or "").strip(), 0):
+        out.append((out[-1] if out else "")[-overlap:] + p)
+    return [(i, c) for i, c in enumerate(out) if c.strip()]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a \n。，", max_size=120), st.integers(3, 12), st.integers(1, 5))
+def test_chunks_like_recursion(t, size, overlap):
+    assert text.chunk_texts(t, size, overlap) == plain_chunks(t, size, overlap)
+
+
+def test_chunk_queries(spark, sf_dir):
+    """The queries without SQL over whole tables against the plain version."""
+    docs = load(spark, sf_dir, "documents").collect()
+    want = sorted((r.doc_id, i, c) for r in docs for i, c in plain_chunks(r.text))
+    assert sorted(map(tuple, QUERIES["x8_chunks"][0](spark, sf_dir).collect())) == want
+    index = {(r.id, r.n, r.md5) for r in QUERIES["x9_chunk_index"][0](spark, sf_dir).collect()}
+    assert index == {(f"{d}_{i}", len(c), hashlib.md5(c.encode()).hexdigest()) for d, i, c in want}
+
+
 def test_chunk_edges():
     assert text.chunk_texts("x" * 300) == [(0, "x" * 300)]
     assert [len(c) for _, c in text.chunk_texts("x" * 301)] == [300, 61]
@@ -150,7 +229,31 @@ def test_labels_dont_collide(spark):
     assert 2 <= len(got) < 10 and "far" in {r.name for r in got}
     for i, a in enumerate(got):
         for b in got[:i]:
-            assert not (a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1)
+            assert not _meet(a[5:], b[5:])
+
+
+def _meet(a, b):
+    return a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3]
+
+
+def test_labels_like_one_after_the_other(spark):
+    """Random points of two views against placing labels in order, one by one."""
+    rng = random.Random(2)
+    rows = [(v, "n" * rng.randrange(8), rng.randrange(900) / 3, rng.randrange(300) / 3, rng.randrange(3), float(rng.randrange(3))) for v in "ab" for _ in range(60)]
+    got = cartography.place_labels(spark.createDataFrame(rows, "view string, name string, x double, y double, priority int, area double"), ["view"], 1.0)
+    want, c = [], cartography
+    for v in "ab":
+        mine = {r[1:] for r in rows if r[0] == v}
+        taken = [(x - c.MARKER, y - c.MARKER, x + c.MARKER, y + c.MARKER) for _, x, y, _, _ in mine]
+        for name, x, y, _, _ in sorted(mine, key=lambda r: (r[3], -r[4], r[0], r[1], r[2])):
+            w, h = len(name) * c.CHAR_W, c.LINE_H
+            for side, dx, dy in c.SIDES if name else []:
+                x0, y0 = x + {1: c.GAP, -1: -c.GAP - w, 0: -w / 2}[dx], y + {1: c.GAP, -1: -c.GAP - h, 0: -h / 2}[dy]
+                if not any(_meet((x0, y0, x0 + w, y0 + h), t) for t in taken):
+                    taken.append((x0, y0, x0 + w, y0 + h))
+                    want.append((v, name, x, y, side))
+                    break
+    assert sorted(tuple(r[:5]) for r in got.collect()) == sorted(want) and len(want) > 30
 
 
 def test_simplify_and_rings(spark):
