@@ -209,6 +209,7 @@ def classes_of(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataF
     lists = _postings(docs, n, percent, sketch).withColumns({"before": F.lag("k1").over(inlist), "after": F.lead("k1").over(inlist)})
     lists = lists.filter("(before is not null or after is not null) and (before is null or before <> k1)")
     lists = materialise(lists.select("gram", "k1", "n", "pos"), "jaccard-lists")
+    sketch.destroy()
     release(spark)
 
     tried = materialise(spark.createDataFrame([], "pivot long, k1 long"), "jaccard-tried")
