@@ -102,7 +102,7 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _sketch(scanned: DataFrame) -> np.ndarray:
-    """Counts by cell over all documents; 2**SKETCH_BITS numbers."""
+    """Counts by cell over all documents; 2**SKETCH_BITS numbers (the largest where one is larger)."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -116,7 +116,7 @@ def _sketch(scanned: DataFrame) -> np.ndarray:
     out = np.zeros((CHUNKS, _CELLS), np.int64)
     for r in once.repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect():
         out[r.chunk] += unpack(r.counts, np.int64)[0]
-    return out.reshape(-1)
+    return np.minimum(out.reshape(-1), np.iinfo(np.uint32).max).astype(np.uint32)
 
 
 def _postings(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 LEVELS = ("domain", "lang", "source")
 RANGES = 4096
@@ -100,6 +100,7 @@ def mix(
     seed: int = 17, max_epochs: int = 2, domain: Column | None = None,
 ) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, epoch of every selected copy."""
+    release(docs.sparkSession)  # what earlier stages left behind on the driver
     names = {
         "domain": domain if domain is not None else domain_of(F.col("source").cast("string")),
         "lang": F.col("lang").cast("string"),

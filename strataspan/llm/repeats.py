@@ -25,10 +25,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, release
+from .common import discard, materialise, release, shuffle_partitions
 from .kernel import _BYTE_VALUES, _BYTES, Words, column_bytes, mix, rolling, slices, sliding_min_positions
 
 SCAN_BYTES, SEND_BYTES = 8 << 20, 3 << 20  # what a task holds before it sends
@@ -54,10 +54,6 @@ def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... for sizes[0] numbers, then the same of the next."""
     ends = np.cumsum(sizes)
