@@ -5,10 +5,12 @@ starts anywhere else, in the same document or another, is removed. Windows are j
 on the input.
 
 Fragments of documents whose anchor recurs meet in the shard of the anchor (see
-``repeats``). A shard confirms which of its windows recur, numbers their words, compiles
-them into an Aho-Corasick automaton over word numbers, and streams all fragments through
-it; every hit is an occurrence, whose words go. An automaton is built for about a
-megabyte of text at a time and dropped again.
+``repeats``). A shard numbers the words of its fragments and proposes the windows whose
+hash it meets twice. They are compiled into an Aho-Corasick automaton over word numbers,
+and all fragments are streamed through it. Its hits, which are equal word by word, are
+counted: a window with two hits or more is confirmed, and the places of its hits are the
+words that go. An automaton is built for about a megabyte of text at a time and dropped
+again. Fragments that are equal byte by byte are streamed once and share the result.
 
 Defined cases: null texts have no words; texts with fewer words than a window keep all;
 repeated rows recur; an empty table gives no rows. Other columns are ignored.
@@ -21,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .kernel import byte_table, rolling
-from .repeats import Fragments, Unit, covered, repeated_spans, runs
+from .repeats import HOT, Fragments, Unit, covered, repeated_spans, runs
 
 WINDOW, GRAM = 35, 8
 _SPACES = bytes(i for i in range(256) if not byte_table(False, False)[0][i])
@@ -33,10 +35,10 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def compile_passages(sequences: list[tuple[int, ...]]) -> ahocorasick.Automaton:
-    """An automaton over word numbers; a hit's value is the passage's length."""
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for s in sequences:
-        automaton.add_word(s)
+    """An automaton over word numbers; a hit's value is the passage's place in the list."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for i, s in enumerate(sequences):
+        automaton.add_word(s, i)
     automaton.make_automaton()
     return automaton
 
@@ -60,13 +62,15 @@ def recurring(window: int = WINDOW):
         offset = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         codes = rolling(flat * np.uint64(0x9E3779B97F4A7C15), window)[base[owner] + offset]
         _, at, group = np.unique(codes, return_index=True, return_inverse=True)
-        confirmed = at[np.bincount(group, times[owner]) > 1]
+        proposed = at[np.bincount(group, times[owner]) > 1]
         mask = np.zeros(int(sizes.sum()), bool)
-        if len(confirmed):
-            automaton = compile_passages([texts[o][k : k + window] for o, k in zip(owner[confirmed].tolist(), offset[confirmed].tolist(), strict=True)])
+        if len(proposed):
+            automaton = compile_passages([texts[o][k : k + window] for o, k in zip(owner[proposed].tolist(), offset[proposed].tolist(), strict=True)])
             edge = (np.cumsum(sizes) - sizes).tolist()
-            hits = [e + end - window + 1 for e, t in zip(edge, texts, strict=True) for end, _ in automaton.iter(t)]
-            mask[hits] = True
+            hits = [(e + end - window + 1, passage) for e, t in zip(edge, texts, strict=True) for end, passage in automaton.iter(t)]
+            place, passage = np.array(hits, np.int64).reshape(-1, 2).T
+            confirmed = np.bincount(passage, times[owner[place]], len(proposed)) > 1
+            mask[place[confirmed[passage]]] = True
         i, a, b = runs(np.arange(len(texts)), mask, sizes, window)
         # from contents to all fragments that have them
         order = np.argsort(number, kind="stable")
@@ -80,7 +84,7 @@ def recurring(window: int = WINDOW):
     return engine
 
 
-def remove_recurring(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_recurring(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed and the remaining words joined by a space (``kept``, UTF-8) of each row."""
 
     def finish(text: bytes, marks: list, mine: range) -> tuple:
@@ -92,4 +96,4 @@ def remove_recurring(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         kept += words[at:]
         return len(words), len(words) - len(kept), b" ".join(kept)
 
-    return repeated_spans(docs, Unit(True, window, gram), recurring(window), False, finish, "n_words long, n_removed long, kept binary")
+    return repeated_spans(docs, Unit(True, window, gram), recurring(window), False, finish, "n_words long, n_removed long, kept binary", hot)

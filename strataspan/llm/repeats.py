@@ -11,6 +11,10 @@ an anchor form a fragment. The stages are
    where all equal windows therefore meet, and an engine decides which windows count;
 3. the spans of those windows go back to their texts.
 
+A key with more than ``HOT`` fragments, such as the anchor of a passage in a third of all
+texts with ever new surroundings, isn't left to one bucket: every task is told of it and
+deals each of the key's windows by the hash of the whole window instead.
+
 Numbers travel in packed columns, one row per task and bucket. What a task has seen
 twice it sends once, so that a passage in a third of all texts costs its bucket a
 record per task, not one per text.
@@ -32,6 +36,7 @@ from .common import discard, materialise, release, shuffle_partitions
 from .kernel import _BYTE_VALUES, _BYTES, Words, column_bytes, mix, rolling, slices, sliding_min_positions
 
 SCAN_BYTES, SEND_BYTES = 8 << 20, 3 << 20  # what a task holds before it sends
+HOT = 20_000  # fragments of a key from which on its windows are dealt one by one
 LAST_ID = (1 << 63) - 1
 _U = np.uint64
 
@@ -88,6 +93,14 @@ class Unit:
         grams = byte_hashes(data, at[:n], np.full(n, self.gram)) if n > 0 else np.zeros(0, _U)
         return data, offsets, at[:-1], at[1:], grams
 
+    def window_hashes(self, texts: pa.Array) -> np.ndarray:
+        """Hash of the window from each unit on; only meaningful where it ends within the text."""
+        if self.words:
+            return Words(texts).windows(self.window)
+        data, _ = column_bytes(texts)
+        n = max(0, len(data) - self.window + 1)
+        return byte_hashes(data, np.arange(n), np.full(n, self.window))
+
     def fragments(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Key, text, first window and number of windows of each fragment."""
         _, first, _, _, grams = self.of(texts)
@@ -142,10 +155,19 @@ class Fragments:
         return cls(*(np.concatenate(columns.pop(0)) for _ in range(len(columns))))
 
     def same(self) -> tuple[np.ndarray, np.ndarray]:
-        """A fragment of each content, and for each fragment the number of its content."""
+        """A fragment of each content, and for each fragment the number of its content.
+        Fragments of one hash are compared byte by byte; one that differs is a content of its own."""
         code = mix(byte_hashes(self.data, self.start, self.size) ^ (self.key * _U(0x9E3779B97F4A7C15)) ^ self.n.astype(_U))
         _, first, number = np.unique(code, return_index=True, return_inverse=True)
-        return first, number
+        other = first[number]
+        alone = (self.size != self.size[other]) | (self.key != self.key[other]) | (self.n != self.n[other])
+        sizes = np.where(alone, 0, self.size)
+        unequal = np.append(0, np.cumsum(self.data[ragged(self.start, sizes)] != self.data[ragged(self.start[other], sizes)]))
+        ends = np.cumsum(sizes)
+        alone |= unequal[ends] > unequal[ends - sizes]
+        which = np.flatnonzero(alone)
+        number[which] = len(first) + np.arange(len(which))
+        return np.append(first, which), number
 
 
 Engine = Callable[[Fragments], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -177,8 +199,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(doc, text).alias("row"), F.coalesce(doc, F.lit(LAST_ID)).alias("doc"), text.cast("binary").alias("text"))
 
 
-def _candidates(docs: DataFrame, unit: Unit, to: int, across: bool) -> DataFrame:
-    """Fragments whose key occurs again (in another row, with ``across``), by the partition of their row."""
+def _candidates(docs: DataFrame, unit: Unit, to: int, across: bool, hot: int) -> DataFrame:
+    """Fragments whose key occurs again (in another row, with ``across``), by the partition of their row,
+    and to all partitions the keys with more than ``hot`` fragments."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -198,8 +221,9 @@ def _candidates(docs: DataFrame, unit: Unit, to: int, across: bool) -> DataFrame
                 yield _candidate_rows(to, row[local], key[local], lo[local], n[local])
             # of keys that are repeated here one record goes on, of others all (of one row)
             sent = ~local | first
-            kinds = (np.uint64, np.int64, np.uint32, np.uint16, np.uint8)
-            cols = [c[sent] for c in (key, row, lo, n, local)]
+            kinds = (np.uint64, np.int64, np.uint32, np.uint16, np.uint32)
+            known = np.where(local, np.bincount(group)[group], 0)
+            cols = [c[sent] for c in (key, row, lo, n, known)]
             yield _rows(0, cols[0] % _U(to), lambda g: pack(*(c[g].astype(k) for c, k in zip(cols, kinds, strict=True))))
 
         for batch in batches:
@@ -221,7 +245,7 @@ def _candidates(docs: DataFrame, unit: Unit, to: int, across: bool) -> DataFrame
                 if kind == 1:
                     yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([1], pa.int32()), pa.array([blob], pa.binary())], ["to", "kind", "blob"])
                 else:
-                    parts.append(unpack(blob, np.uint64, np.int64, np.uint32, np.uint16, np.uint8))
+                    parts.append(unpack(blob, np.uint64, np.int64, np.uint32, np.uint16, np.uint32))
         if not parts:
             return
         key, row, lo, n, known = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -236,6 +260,10 @@ def _candidates(docs: DataFrame, unit: Unit, to: int, across: bool) -> DataFrame
         take = many[group] & (known == 0)
         if take.any():
             yield _candidate_rows(to, row[take], key[take], lo[take], n[take])
+        crowd = np.bincount(group, np.maximum(known, 1)) > hot
+        if crowd.any():
+            news = pack(key[first][crowd])
+            yield pa.RecordBatch.from_arrays([pa.array(range(to), pa.int32()), pa.nulls(to, pa.int32()).fill_null(3), pa.array([news] * to, pa.binary())], ["to", "kind", "blob"])
 
     sent = docs.select("row", "text").mapInArrow(send, _ROWS)
     return sent.repartitionById(to, "to").mapInArrow(repeated, _ROWS)
@@ -243,25 +271,30 @@ def _candidates(docs: DataFrame, unit: Unit, to: int, across: bool) -> DataFrame
 
 def _dealt(docs: DataFrame, marks: DataFrame, to: int) -> DataFrame:
     """Marks and texts by partition, marks first."""
-    texts = docs.select(F.pmod("row", F.lit(to)).cast("int").alias("to"), F.lit(2).alias("kind"), F.col("text").alias("blob"), "row", "doc")
+    texts = docs.select(F.pmod("row", F.lit(to)).cast("int").alias("to"), F.lit(4).alias("kind"), F.col("text").alias("blob"), "row", "doc")
     marks = marks.withColumns({"row": F.lit(None).cast("long"), "doc": F.lit(None).cast("long")})
     return marks.unionByName(texts).repartitionById(to, "to").sortWithinPartitions("kind")
 
 
 def _with_marks(batches: Iterator[pa.RecordBatch], *kinds: type) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Slices of texts (columns to, kind, blob, row, doc) with all marks by row, and the range of each text's marks."""
-    held, marks = [], None
+    """Slices of texts (columns to, kind, blob, row, doc) with all marks by row, and the range of each
+    text's marks. News of hot keys follow the marks as one more array."""
+    held, news, marks = [], [], None
     for batch in batches:
         kind = batch.column(1).to_numpy(zero_copy_only=False)
-        for i in np.flatnonzero(kind < 2):
-            held.append(unpack(batch.column(2)[int(i)].as_py(), *kinds))
-        texts = batch.slice(int((kind < 2).sum()))
+        for i in np.flatnonzero(kind < 4):
+            blob = batch.column(2)[int(i)].as_py()
+            if kind[i] == 3:
+                news += unpack(blob, np.uint64)
+            else:
+                held.append(unpack(blob, *kinds))
+        texts = batch.slice(int((kind < 4).sum()))
         if not texts.num_rows:
             continue
         if marks is None:
             marks = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, k) for k in kinds]
             order = np.argsort(marks[0], kind="stable")
-            marks = [m[order] for m in marks]
+            marks = [*(m[order] for m in marks), np.concatenate([*news, np.zeros(0, _U)])]
             held.clear()
         for part in slices(texts, 2):
             row = part.column(3).to_numpy(zero_copy_only=False)
@@ -299,12 +332,18 @@ def _spans(docs: DataFrame, found: DataFrame, unit: Unit, to: int, engine: Engin
             if len(mine):
                 r = np.repeat(np.arange(len(a)), b - a)
                 data, first, starts, ends, _ = unit.of(part.column(2)) if unit.words else (*column_bytes(part.column(2)), None, None, None)
-                lo, n = marks[2][mine].astype(np.int64), marks[3][mine].astype(np.int64)
+                key, lo, n = marks[1][mine], marks[2][mine].astype(np.int64), marks[3][mine].astype(np.int64)
+                hot = np.isin(key, marks[4])
+                if hot.any():  # a fragment of one window each, dealt by the window
+                    times = np.where(hot, n, 1)
+                    r, key, n, hot = (np.repeat(c, times) for c in (r, key, np.where(hot, 1, n), hot))
+                    lo = ragged(lo, times)
+                    key[hot] = unit.window_hashes(part.column(2))[(first[r] + lo)[hot]] >> _U(16)
                 u, v = first[r] + lo, first[r] + lo + n - 1 + unit.window
                 begin, end = (starts[u], ends[v - 1]) if unit.words else (u, v)
                 row, doc = (part.column(c).to_numpy(zero_copy_only=False)[r] for c in (3, 4))
-                held.append((marks[1][mine], doc, row, lo, n, np.ones(len(mine), np.uint8), end - begin, data[ragged(begin, end - begin)]))
-                size += int((end - begin).sum()) + 40 * len(mine)
+                held.append((key, doc, row, lo, n, np.ones(len(r), np.uint8), end - begin, data[ragged(begin, end - begin)]))
+                size += int((end - begin).sum()) + 40 * len(r)
             if size >= SEND_BYTES:
                 yield from flush()
                 held, size = [], 0
@@ -364,7 +403,7 @@ def covered(marks: list[np.ndarray], a: int, b: int, n: int) -> list[tuple[int,
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def repeated_spans(docs: DataFrame, unit: Unit, engine: Engine, across: bool, finish: Callable[[bytes, np.ndarray | None, list], tuple], schema: str) -> DataFrame:
+def repeated_spans(docs: DataFrame, unit: Unit, engine: Engine, across: bool, finish: Callable[[bytes, np.ndarray | None, list], tuple], schema: str, hot: int = HOT) -> DataFrame:
     """``finish`` of each text's bytes and its spans that an engine picked.
 
     docs has doc_id and text; ``across`` says that only windows of texts with smaller ids
@@ -372,7 +411,7 @@ def repeated_spans(docs: DataFrame, unit: Unit, engine: Engine, across: bool, fi
     spark = docs.sparkSession
     to = shuffle_partitions(spark)
     keyed = _keyed(docs)
-    found = materialise(_candidates(keyed, unit, to, across), "candidates")
+    found = materialise(_candidates(keyed, unit, to, across, hot), "candidates")
     release(spark)
     spans = materialise(_spans(keyed, found, unit, to, engine, across), "spans")
     discard(found)

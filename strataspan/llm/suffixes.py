@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import Fragments, Unit, covered, ragged, repeated_spans, runs
+from .repeats import HOT, Fragments, Unit, covered, ragged, repeated_spans, runs
 
 WINDOW, GRAM = 50, 20
 
@@ -148,7 +148,7 @@ def earlier(window: int = WINDOW):
     return engine
 
 
-def remove_earlier(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_earlier(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the remaining bytes (``kept``) of each row."""
 
     def finish(text: bytes, marks: list, mine: range) -> tuple:
@@ -162,4 +162,4 @@ def remove_earlier(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         return len(text), len(text) - len(kept), len(cuts), kept
 
     schema = "n_bytes long, n_removed long, n_spans long, kept binary"
-    return repeated_spans(docs, Unit(False, window, gram), earlier(window), True, finish, schema)
+    return repeated_spans(docs, Unit(False, window, gram), earlier(window), True, finish, schema, hot)

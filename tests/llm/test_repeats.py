@@ -82,6 +82,8 @@ def test_bytes_planted(spark):
     out = suffixes.remove_earlier(docs)
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in out.collect())
     assert got == plain_bytes(rows)
+    split = suffixes.remove_earlier(docs, hot=2)  # nearly all keys are hot
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in split.collect()) == got
     assert suffixes.remove_earlier(docs.limit(0)).count() == 0
 
 
@@ -92,9 +94,23 @@ def test_words_planted(spark):
     out = phrases.remove_recurring(docs)
     got = sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in out.collect())
     assert got == plain_words(rows)
+    split = phrases.remove_recurring(docs, hot=2)  # nearly all keys are hot
+    assert sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in split.collect()) == got
     assert phrases.remove_recurring(docs.limit(0)).count() == 0
 
 
+def test_automaton_decides():
+    """What the automaton finds counts: without hits nothing recurs, though hashes do."""
+    text = " ".join(f"w{i}" for i in range(40)).encode()
+    f = Fragments(np.full(2, 3, np.uint64), np.arange(2), np.arange(2), np.zeros(2, int), np.full(2, 6), np.ones(2, np.uint8), np.full(2, len(text)), np.frombuffer(text + text, np.uint8))
+    assert [len(x) for x in phrases.recurring()(f)] == [2, 2, 2]
+    real, phrases.compile_passages = phrases.compile_passages, lambda sequences: real([(0,)])
+    try:
+        assert [len(x) for x in phrases.recurring()(f)] == [0, 0, 0]
+    finally:
+        phrases.compile_passages = real
+
+
 def test_one_anchor_with_megabytes():
     """A common run of 20 bytes with distinct surroundings: one key, over 4 MB of fragments."""
     rng, anchor = random.Random(3), b"licensed under terms"
