@@ -1,10 +1,13 @@
 """Personal data: patterns propose spans, checksums confirm them, context words
 adjust the score.
 
-Base kinds (email, ip, card, phone) are reported whenever their own test holds,
-whatever the context. The method adds ``iban`` (mod 97) and ``ssn`` (a shape with
-many accidental hits, so only nearby context words lift it over the threshold).
-Patterns are written so that scanning is linear in the text: runs are entered only
+Every span has a score: what its pattern and checksum are worth, more where a word nearby
+speaks for the kind, less where one speaks against it. Base kinds (email, ip, card, phone)
+are reported with their score whenever their own test holds. The method adds ``iban``
+(mod 97), ``ssn`` (a shape with many accidental hits), ``key`` (secrets with a known
+beginning, and private key blocks) and ``secret`` (long runs of letters and digits that look
+drawn at random); these are reported if their score reaches ``THRESHOLD``, so context
+decides about each of them. Patterns are written so that scanning is linear in the text: runs are entered only
 at their start, and emails are found from their ``@``.
 
 Defined cases: a null text is empty; texts are scanned whole; repeated rows stay
@@ -15,7 +18,9 @@ separate rows; an empty table gives an empty result; other columns are ignored b
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban", "ssn")
-CONTEXT_CHARS, THRESHOLD = 40, 0.6
+ADDED_KINDS = ("iban", "ssn", "key", "secret")
+CONTEXT_CHARS, FOR, AGAINST, THRESHOLD = 40, 0.3, 0.35, 0.6
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -33,11 +38,24 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_CONTEXT = {
-    "iban": re.compile(r"\b(?:iban|account|konto|compte|cuenta|bank)\b", re.I),
-    "ssn": re.compile(r"\b(?:ssn|social security)\b", re.I),
+_KEY = re.compile(
+    r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{20,}|[sr]k_live_[A-Za-z0-9]{16,}"
+    r"|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+)
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9])")
+SECRET_ENTROPY = 3.0  # bits a character; words and numbers that are written out have less
+# By kind: what a confirmed span is worth, and the words that speak for and against it.
+_KINDS = {
+    "email": (0.9, r"e-?mail|contact|write", r"example"),
+    "ip": (0.7, r"ip|host|server|address", r"version|release|section"),
+    "card": (0.8, r"card|visa|master|credit|karte|carte|tarjeta", r"order|serial|isbn|invoice"),
+    "phone": (0.8, r"phone|tel|call|mobile|fax", r"part|serial"),
+    "iban": (0.7, r"iban|account|konto|compte|cuenta|bank", r"order|serial|part"),
+    "ssn": (0.4, r"ssn|social security", r"order|serial|part"),
+    "key": (0.9, r"key|token|secret|credential", r"dummy|placeholder"),
+    "secret": (0.4, r"api[ _-]?key|key|token|secret|password|passwd|pwd|bearer|credential|auth", r"sha1|sha256|md5|checksum|digest|commit|revision"),
 }
-_START = {"iban": 0.7, "ssn": 0.4}
+_CONTEXT = {kind: tuple(re.compile(rf"(?<![a-z])(?:{words})(?![a-z])", re.I) for words in both) for kind, (_, *both) in _KINDS.items()}
 Span = tuple[str, int, int]
 
 
@@ -92,26 +110,45 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def scored(text: str) -> list[tuple[Span, float]]:
-    """Spans of the added kinds with their scores."""
-    out = []
-    for kind, pattern, confirmed in (
-        ("iban", _IBAN, lambda s: 15 <= len(s) <= 34 and mod97(s)),
-        ("ssn", _SSN, lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"),
-    ):
-        for m in pattern.finditer(text):
-            if confirmed(m.group().replace(" ", "")):
-                near = text[max(0, m.start() - CONTEXT_CHARS) : m.start()] + "\n" + text[m.end() : m.end() + CONTEXT_CHARS]
-                out.append(((kind, m.start(), m.end()), min(1.0, _START[kind] + 0.3 * bool(_CONTEXT[kind].search(near)))))
+def random_looking(run: str) -> bool:
+    """Letters and digits, as mixed as drawn ones are."""
+    if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+        return False
+    return -sum(n / len(run) * math.log2(n / len(run)) for n in Counter(run).values()) >= SECRET_ENTROPY
+
+
+def iban_length(run: str) -> int:
+    """How much of a run is an IBAN: words behind it may have been taken along. 0: nothing."""
+    while True:
+        if 15 <= len(run.replace(" ", "")) <= 34 and mod97(run.replace(" ", "")):
+            return len(run)
+        if " " not in run:
+            return 0
+        run = run.rpartition(" ")[0]
+
+
+def proposed(text: str) -> list[Span]:
+    """Spans of the added kinds that their own check confirms, by kind."""
+    out: list[Span] = []
+    if re.search("[0-9]{2}", text):
+        out += [("iban", m.start(), m.start() + n) for m in _IBAN.finditer(text) if (n := iban_length(m.group()))]
+        out += [("ssn", *m.span()) for m in _SSN.finditer(text) if not re.match("000|666|9..|...-00|.*-0000", m.group())]
+    out += [("key", *m.span()) for m in _KEY.finditer(text)]
+    out += [("secret", *m.span()) for m in _SECRET.finditer(text) if random_looking(m.group())]
     return out
 
 
+def score(text: str, span: Span) -> float:
+    """What a confirmed span is worth, with the words around it."""
+    kind, a, b = span
+    near = text[max(0, a - CONTEXT_CHARS) : a] + "\n" + text[b : b + CONTEXT_CHARS]
+    speaks_for, against = _CONTEXT[kind]
+    return round(min(1.0, max(0.0, _KINDS[kind][0] + FOR * bool(speaks_for.search(near)) - AGAINST * bool(against.search(near)))), 2)
+
+
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and the added ones whose score reaches the threshold."""
-    base = base_spans(text)
-    if not re.search("[0-9]{2}", text):
-        return base, []
-    return base, [s for s, score in scored(text) if score >= THRESHOLD]
+    return base_spans(text), [s for s in proposed(text) if score(text, s) >= THRESHOLD]
 
 
 def _joined(spans: list[Span]) -> str:
@@ -119,7 +156,8 @@ def _joined(spans: list[Span]) -> str:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row the counts by base kind, the digest of the base spans and all spans."""
+    """Per row the counts by base kind, the digest of the base spans, all spans, their scores
+    in the same order, and how many there are (``n_found``)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,16 +166,17 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 base, added = find(t.as_py() or "")
                 kinds = [k for k, _, _ in base]
                 said = _joined(base)
-                rows.append((*(kinds.count(k) for k in BASE_KINDS), hashlib.sha256(said.encode()).hexdigest(), _joined(base + added)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                scores = ",".join(f"{score(t.as_py(), s):.2f}" for s in base + added)
+                rows.append((*(kinds.count(k) for k in BASE_KINDS), len(base + added), hashlib.sha256(said.encode()).hexdigest(), _joined(base + added), scores))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])],
-                [key, *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"],
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:5]), *(pa.array(c, pa.string()) for c in cols[5:])],
+                [key, *(f"n_{k}" for k in BASE_KINDS), "n_found", "base_sha256", "spans", "scores"],
             )
 
     source = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
     kind = source.schema[0].dataType.simpleString()
-    schema = f"{key} {kind}, " + ", ".join(f"n_{k} long" for k in BASE_KINDS) + ", base_sha256 string, spans string"
+    schema = f"{key} {kind}, " + ", ".join(f"n_{k} long" for k in BASE_KINDS) + ", n_found long, base_sha256 string, spans string, scores string"
     return source.mapInArrow(task, schema)
 
 

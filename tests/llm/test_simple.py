@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -84,11 +85,39 @@ def test_pii_query(spark, sf_dir):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in pii.BASE_KINDS]
 
 
+def test_pii_recall():
+    """Planted among words: nine of ten are found at least, and words alone give nothing."""
+    rng = random.Random(6)
+    words = ["the", "of", "nd", "rthou", "heitheit", "ciónado", "Retionly", "42", "1,000", "x-ray", "2024"]
+    filler = lambda: " ".join(rng.choices(words, k=40))
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def iban():
+        bank = digits(18)
+        return next(c for k in range(2, 99) if pii.mod97(c := f"DE{k:02d}{bank}"))
+
+    makers = {
+        "email": lambda: f"{filler()[:3].strip()}.{digits(2)}@mail{digits(1)}.example.com", "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        "phone": lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", "iban": iban, "ssn": lambda: f"ssn {rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
+        "card": lambda: next(c for c in (digits(16) for _ in range(1000)) if pii.luhn(c)), "secret": lambda: f'token = "{rng.randbytes(20).hex()}"', "key": lambda: "ghp_" + rng.randbytes(18).hex(),
+    }
+    for kind, make in makers.items():
+        found = sum(any(k == kind for part in pii.find(f"{filler()} {make()} {filler()}") for k, _, _ in part) for _ in range(100))
+        assert found >= 90, (kind, found)
+    assert not any(part for _ in range(200) for part in pii.find(filler()))
+
+
 def test_pii_checks_and_context(spark):
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765431")
     base, added = pii.find("IBAN GB82 WEST 1234 5698 7654 32, no ssn: 123-45-6789, é a@b.co")
     assert [k for k, _, _ in added] == ["iban", "ssn"] and ("email", 57, 63) in base
     assert pii.find("order 123-45-6789 of parts")[1] == []
+    # context decides about each added kind, for and against
+    number, hexes = "GB82WEST12345698765432", hashlib.sha1(b"x").hexdigest()
+    assert pii.find(f"see {number} .")[1] and not pii.find(f"part {number} .")[1]
+    assert pii.find(f'token = "{hexes}"')[1] == [("secret", 9, 49)] and not pii.find(f"commit {hexes} of")[1] and not pii.find(f"see {hexes} of")[1]
+    assert pii.find("AKIA" + "A1B2" * 4)[1] and not pii.find("dummy " + "AKIA" + "A1B2" * 4)[1]
+    assert pii.score("card 4111 1111 1111 1111", ("card", 5, 24)) > pii.score("order 4111 1111 1111 1111", ("card", 6, 25))
     docs = documents(spark, [*odd_texts(), "mail a@b.co or 4111 1111 1111 1111"]).withColumn("spans", F.lit(1))
     out = pii.scan(docs).collect()
     assert len(out) == docs.count() and out[0].spans == ""
