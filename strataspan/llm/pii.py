@@ -3,7 +3,8 @@ adjust the score.
 
 Every span has a score: what its pattern and checksum are worth, more where a word nearby
 speaks for the kind, less where one speaks against it. Base kinds (email, ip, card, phone)
-are reported with their score whenever their own test holds. The method adds ``iban``
+are reported with their score whenever their own test holds. The method adds ``pan`` (card
+numbers by Luhn inside longer runs of numbers, which the base kind drops), ``iban``
 (mod 97), ``ssn`` (a shape with many accidental hits), ``key`` (secrets with a known
 beginning, and private key blocks) and ``secret`` (long runs of letters and digits that look
 drawn at random); these are reported if their score reaches ``THRESHOLD``, so context
@@ -28,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban", "ssn", "key", "secret")
+ADDED_KINDS = ("pan", "iban", "ssn", "key", "secret")
 CONTEXT_CHARS, FOR, AGAINST, THRESHOLD = 40, 0.3, 0.35, 0.6
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+_PAN = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
@@ -50,6 +52,7 @@ _KINDS = {
     "ip": (0.7, r"ip|host|server|address", r"version|release|section"),
     "card": (0.8, r"card|visa|master|credit|karte|carte|tarjeta", r"order|serial|isbn|invoice"),
     "phone": (0.8, r"phone|tel|call|mobile|fax", r"part|serial"),
+    "pan": (0.6, r"card|visa|master|credit|karte|carte|tarjeta", r"order|serial|isbn|invoice"),
     "iban": (0.7, r"iban|account|konto|compte|cuenta|bank", r"order|serial|part"),
     "ssn": (0.4, r"ssn|social security", r"order|serial|part"),
     "key": (0.9, r"key|token|secret|credential", r"dummy|placeholder"),
@@ -127,9 +130,12 @@ def iban_length(run: str) -> int:
         run = run.rpartition(" ")[0]
 
 
-def proposed(text: str) -> list[Span]:
+def proposed(text: str, base: list[Span]) -> list[Span]:
     """Spans of the added kinds that their own check confirms, by kind."""
     out: list[Span] = []
+    if re.search("[0-9]{4}", text):
+        cards = {at for kind, a, b in base if kind == "card" for at in range(a, b)}
+        out += [("pan", *m.span()) for m in _PAN.finditer(text) if m.start() not in cards and luhn(re.sub("[ -]", "", m.group()))]
     if re.search("[0-9]{2}", text):
         out += [("iban", m.start(), m.start() + n) for m in _IBAN.finditer(text) if (n := iban_length(m.group()))]
         out += [("ssn", *m.span()) for m in _SSN.finditer(text) if not re.match("000|666|9..|...-00|.*-0000", m.group())]
@@ -148,7 +154,8 @@ def score(text: str, span: Span) -> float:
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and the added ones whose score reaches the threshold."""
-    return base_spans(text), [s for s in proposed(text) if score(text, s) >= THRESHOLD]
+    base = base_spans(text)
+    return base, [s for s in proposed(text, base) if score(text, s) >= THRESHOLD]
 
 
 def _joined(spans: list[Span]) -> str:

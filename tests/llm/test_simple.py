@@ -102,7 +102,7 @@ def test_pii_recall():
         "card": lambda: next(c for c in (digits(16) for _ in range(1000)) if pii.luhn(c)), "secret": lambda: f'token = "{rng.randbytes(20).hex()}"', "key": lambda: "ghp_" + rng.randbytes(18).hex(),
     }
     for kind, make in makers.items():
-        found = sum(any(k == kind for part in pii.find(f"{filler()} {make()} {filler()}") for k, _, _ in part) for _ in range(100))
+        found = sum(any(k in (kind, "pan" if kind == "card" else kind) for part in pii.find(f"{filler()} {make()} {filler()}") for k, _, _ in part) for _ in range(100))
         assert found >= 90, (kind, found)
     assert not any(part for _ in range(200) for part in pii.find(filler()))
 
