@@ -3,27 +3,33 @@
 A batch inserts, deletes or revises counts. Each change becomes a signed delta, the
 deltas of a batch are summed by source, language and tokenizer version, and totals
 are the sum over committed batches. A batch is staged in a folder of its own and
-committed by renaming the folder to the batch's name; a name that exists is never
-written again, so replays and retries change nothing, and a driver lost halfway
-leaves only a staging folder that no reader looks at.
+committed by creating the log's next entry, which holds the batch's name and folder. An
+entry can be created once: of two drivers one is told that the log has moved on, looks
+whether its batch's name is there by now and else computes its deltas again. So a name
+is committed once, whoever replays it and when, and a driver lost halfway leaves only a
+folder that no reader looks at.
 
 The store also keeps the last count of each document and tokenizer, from which
-deletes and revisions take the amount to withdraw.
+deletes and revisions take the amount to withdraw. Every ``compact`` batches both are
+summed into a snapshot, so that a commit reads one snapshot and few batches, however
+long the log is.
 
 Defined cases: null texts have 0 tokens; null sources and languages form groups of
-their own; inserting a document that is present revises it; deleting or revising an
-absent one changes nothing; of repeated rows of one document in a batch the largest
-by (source, lang, n_tokens) counts; empty batches commit an empty delta. Other
-columns are ignored.
+their own; rows without a doc_id are one document; inserting a document that is present
+revises it; deleting or revising an absent one changes nothing; of repeated rows of one
+document in a batch the largest by (not delete, source, lang, n_tokens) counts; null
+counts are 0; empty batches commit an empty delta. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,53 +78,89 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str =
 class TokenTotals:
     """A store of counts and totals under one folder."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, compact: int = 16) -> None:
+        self.spark, self.root, self.compact = spark, root.rstrip("/"), compact
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
-    def batches(self) -> list[str]:
-        """Names of the committed batches, in order of commit."""
-        at = self._path(f"{self.root}/batches")
+    def _entries(self, log: str) -> list[dict]:
+        """The entries of a log in order."""
+        at = self._path(f"{self.root}/{log}")
         if not self._fs.exists(at):
             return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(at)]
-        return sorted(n for n in names if not n.startswith(("_", ".")))
+        names = sorted(n for s in self._fs.listStatus(at) if (n := s.getPath().getName()).isdigit())
+        read = self.spark._jvm.org.apache.commons.io.IOUtils.toString
+        return [json.loads(read(self._fs.open(self._path(f"{self.root}/{log}/{n}")), "UTF-8")) for n in names]
+
+    def _create(self, log: str, number: int, entry: dict) -> bool:
+        """Whether this call made the entry, which nobody can make twice."""
+        try:
+            out = self._fs.create(self._path(f"{self.root}/{log}/{number:08d}"), False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+                return False
+            raise
+        out.write(json.dumps(entry).encode())
+        out.close()
+        return True
 
-    def _parts(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.root}/batches/{b}/{kind}" for b in self.batches()]
+    def batches(self) -> list[str]:
+        """Names of the committed batches, in order of commit."""
+        return [e["name"] for e in self._entries("log")]
+
+    def _parts(self, kind: str, schema: str, entries: list[dict]) -> DataFrame:
+        """The rows of the last snapshot and of the batches after it."""
+        upto, paths = 0, []
+        for snapshot in self._entries("snapshots")[-1:]:
+            if snapshot["upto"] <= len(entries):
+                upto, paths = snapshot["upto"], [f"{snapshot['data']}/{kind}"]
+        paths += [f"{e['data']}/{kind}" for e in entries[upto:]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _last(self, entries: list[dict]) -> DataFrame:
+        last = F.max(F.struct("seq", "present", "source", "lang", "n_tokens")).alias("x")
+        return self._parts("counts", _COUNTS, entries).groupBy("doc_id", "tokenizer").agg(last).filter("x.present")
+
+    def _sums(self, entries: list[dict]) -> DataFrame:
+        sums = self._parts("deltas", _DELTAS, entries).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return sums.filter("n_docs != 0 or n_tokens != 0")
+
     def counts(self) -> DataFrame:
         """The last known count of each document and tokenizer."""
-        last = F.max(F.struct("seq", "present", "source", "lang", "n_tokens")).alias("x")
-        rows = self._parts("counts", _COUNTS).groupBy("doc_id", "tokenizer").agg(last)
-        return rows.filter("x.present").select("doc_id", "tokenizer", "x.source", "x.lang", "x.n_tokens")
+        return self._last(self._entries("log")).select("doc_id", "tokenizer", "x.source", "x.lang", "x.n_tokens")
+
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer, n_docs, n_tokens over all committed batches."""
+        return self._sums(self._entries("log"))
 
     def commit(self, name: str, changes: DataFrame) -> bool:
         """Apply changes (doc_id, tokenizer, op in insert/delete/revise; source, lang and
         n_tokens but for deletes). False if a batch of this name is committed."""
-        done = self.batches()
-        if any(b.split("-", 1)[1] == name for b in done):
-            return False
-        seq = len(done)
-        new = changes.groupBy("doc_id", "tokenizer").agg(
-            F.max(F.struct(F.col("op") != "delete", F.col("source"), F.col("lang"), F.col("n_tokens"), F.col("op"))).alias("n")
-        )
-        new = new.select("doc_id", "tokenizer", F.col("n.op").alias("op"), F.col("n.source").alias("new_source"), F.col("n.lang").alias("new_lang"), F.col("n.n_tokens").alias("new_tokens"))
-        if done:
-            old = self.counts().select("doc_id", "tokenizer", F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), F.col("n_tokens").alias("old_tokens"))
-            both = new.join(old, ["doc_id", "tokenizer"], "left")
-        else:
-            both = new.withColumns({"old_source": F.lit(None).cast("string"), "old_lang": F.lit(None).cast("string"), "old_tokens": F.lit(None).cast("long")})
-        both = both.filter("op = 'insert' or old_tokens is not null")
-        stage = f"{self.root}/staging/{uuid.uuid4().hex}"
-        keeps = F.col("op") != "delete"
+        while True:
+            entries = self._entries("log")
+            if any(e["name"] == name for e in entries):
+                return False
+            stage = f"{self.root}/data/{uuid.uuid4().hex}"
+            self._stage(stage, changes, entries)
+            if self._create("log", len(entries), {"name": name, "data": stage}):
+                break
+            self._fs.delete(self._path(stage), True)
+        if (len(entries) + 1) % self.compact == 0:
+            self._snapshot()
+        return True
+
+    def _stage(self, stage: str, changes: DataFrame, entries: list[dict]) -> None:
+        """Write the new counts and the deltas of a batch that follows the entries."""
+        best = F.max(F.struct(F.col("op") != "delete", F.col("source"), F.col("lang"), F.col("n_tokens"), F.col("op"))).alias("n")
+        new = changes.groupBy("doc_id", "tokenizer").agg(best)
+        old = self._last(entries).select(F.col("doc_id").alias("old_id"), F.col("tokenizer").alias("old_tokenizer"), "x")
+        both = new.join(old, F.col("doc_id").eqNullSafe(F.col("old_id")) & (F.col("tokenizer") == F.col("old_tokenizer")), "left")
+        both = both.filter("n.op = 'insert' or x is not null")
+        keeps = F.col("n.op") != "delete"
+        either = lambda c: F.when(keeps, F.col(f"n.{c}")).otherwise(F.col(f"x.{c}")).alias(c)
         both.select(
-            "doc_id", "tokenizer", F.when(keeps, F.col("new_source")).otherwise(F.col("old_source")).alias("source"),
-            F.when(keeps, F.col("new_lang")).otherwise(F.col("old_lang")).alias("lang"),
-            F.when(keeps, F.coalesce("new_tokens", F.lit(0))).otherwise(F.col("old_tokens")).alias("n_tokens"),
-            keeps.alias("present"), F.lit(seq).cast("long").alias("seq"), F.col("old_source"), F.col("old_lang"), F.col("old_tokens"),
+            "doc_id", "tokenizer", either("source"), either("lang"), F.coalesce(either("n_tokens"), F.lit(0)).cast("long").alias("n_tokens"), keeps.alias("present"),
+            F.lit(len(entries)).cast("long").alias("seq"), F.col("x.source").alias("old_source"), F.col("x.lang").alias("old_lang"), F.col("x.n_tokens").alias("old_tokens"),
         ).write.parquet(f"{stage}/counts")
         written = self.spark.read.schema(_COUNTS + ", old_source string, old_lang string, old_tokens long").parquet(f"{stage}/counts")
         plus = F.struct("source", "lang", F.lit(1).alias("d"), F.col("n_tokens").alias("n"))
@@ -127,10 +169,12 @@ class TokenTotals:
         rows = written.select("tokenizer", F.explode(signed).alias("s")).select("s.source", "s.lang", "tokenizer", "s.d", "s.n")
         sums = rows.groupBy(*GROUP).agg(F.sum("d").alias("n_docs"), F.sum("n").alias("n_tokens"))
         sums.filter("n_docs != 0 or n_tokens != 0").coalesce(1).write.parquet(f"{stage}/deltas")
-        self._fs.mkdirs(self._path(f"{self.root}/batches"))
-        return self._fs.rename(self._path(stage), self._path(f"{self.root}/batches/{seq:08d}-{name}"))
 
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer, n_docs, n_tokens over all committed batches."""
-        sums = self._parts("deltas", _DELTAS).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.filter("n_docs != 0 or n_tokens != 0")
+    def _snapshot(self) -> None:
+        """Sum up all batches so far; one that another driver has made already is left alone."""
+        entries = self._entries("log")
+        at = f"{self.root}/data/{uuid.uuid4().hex}"
+        counts = self._last(entries).select("doc_id", "tokenizer", "x.source", "x.lang", "x.n_tokens", "x.present", "x.seq")
+        counts.write.parquet(f"{at}/counts")
+        self._sums(entries).write.parquet(f"{at}/deltas")
+        self._create("snapshots", len(entries), {"upto": len(entries), "data": at})
