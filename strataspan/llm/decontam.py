@@ -8,12 +8,14 @@ suffix of every test item is then binary-searched in every shard, word by word;
 range that is left after a window's length holds all its occurrences, the last
 range before none is left the longest verbatim match.
 
-The benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES`` of text, whose
-size is checked; more blocks are more passes over a shard inside the same job.
-Documents aren't shuffled.
+Distinct items go to the tasks in blocks of about ``BLOCK_BYTES`` of text. A benchmark of
+one block, whose size is measured, is broadcast and documents aren't shuffled. A larger one
+takes a pass for each block: only one block is on the driver and in the workers at a time,
+a pass writes what it found, and the finds of a document are merged by its id and text.
 
 Defined cases: null texts have no words; items without words match nothing; items
 with fewer words than a window are one window; repeated item ids count once;
+items without an id count as one with an empty id;
 repeated documents are judged each; empty tables give no hits. Other columns are
 kept by ``remove_contaminated`` and ignored by ``hits``.
 """
@@ -22,13 +24,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial, reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, materialise
 from .kernel import slices
 
 WINDOW = 10
@@ -160,67 +166,136 @@ class Shard:
         return found, best, where
 
 
-def _blocks(benchmark: DataFrame, window: int, limit: int) -> list:
-    """Broadcast blocks of items, each of about ``limit`` bytes at most."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-total // limit))
-    out = []
-    for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        out.append(spark.sparkContext.broadcast(TestBlock([(r.i, r.t) for r in part.orderBy("i", "t").collect()], window)))
-    return out
+def _items(benchmark: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """Distinct items (i, t, block), and how many blocks of about ``limit`` bytes they make."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).distinct()
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // limit))
+    return items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))), blocks
 
 
-def _hits_of(texts: list[str | None], blocks: list[TestBlock]) -> list[tuple[int, int, list[str]]]:
-    """(words, words hit, items) of each text."""
-    cover, items, counts = None, [set() for _ in texts], None
-    for block in blocks:
-        shard = Shard(texts, block)
-        counts = shard.counts
-        if cover is None:
-            cover, first = np.zeros(int(shard.first[-1]) + 1, np.int64), shard.first
-        for tests, at in shard.search(block)[0]:
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + block.window[tests], -1)
-            docs = np.searchsorted(first, at, "right") - 1
-            for d, i in set(zip(docs.tolist(), block.item[tests].tolist(), strict=True)):
-                items[d].add(block.names[i])
-    hit = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
-    return [(int(counts[r]), int(hit[first[r + 1]] - hit[first[r]]), sorted(items[r])) for r in range(len(texts))]
+def _sent(items: DataFrame, block: int, window: int) -> Broadcast:
+    rows = items.filter(F.col("block") == block).orderBy("i", "t").collect()
+    return items.sparkSession.sparkContext.broadcast(TestBlock([(r.i, r.t) for r in rows], window))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    blocks = _blocks(benchmark, window, block_bytes)
+@dataclass
+class Finds:
+    """What a block's items have in common with some texts."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", SHARD_BYTES):
-                rows = _hits_of(part.column(1).to_pylist(), [b.value for b in blocks])
-                digests = [hashlib.sha256(",".join(i).encode()).hexdigest() for _, _, i in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                     pa.array([len(r[2]) for r in rows], pa.int64()), pa.array(digests, pa.string()), pa.array([r[1] > 0 for r in rows])],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
+    counts: np.ndarray  # words of each text
+    hit: list[list[tuple[int, int]]]  # runs of words hit
+    items: list[list[str]]
+    longest: np.ndarray  # words of the longest verbatim match, 0 without a window
 
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(task, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    @classmethod
+    def of(cls, texts: list[str | None], block: TestBlock) -> Finds:
+        shard = Shard(texts, block)
+        found = shard.search(block)[0]
+        tests, at = (np.concatenate([f[k] for f in found] + [np.zeros(0, np.int64)]).astype(np.int64) for k in (0, 1))
+        docs = np.searchsorted(shard.first, at, "right") - 1
+        items: list[set[str]] = [set() for _ in texts]
+        for d, i in set(zip(docs.tolist(), block.item[tests].tolist(), strict=True)):
+            items[d].add(block.names[i])
+        cover = np.zeros(int(shard.first[-1]) + 2, np.int64)
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + block.window[tests], -1)
+        edges = np.flatnonzero(np.diff(np.cumsum(cover) > 0, prepend=False))
+        hit: list[list[tuple[int, int]]] = [[] for _ in texts]
+        for a, b, d in zip(edges[::2].tolist(), edges[1::2].tolist(), (np.searchsorted(shard.first, edges[::2], "right") - 1).tolist(), strict=True):
+            hit[d].append((a - int(shard.first[d]), b - int(shard.first[d])))
+        # windows that follow each other in an item and in a text are one match
+        longest = np.zeros(len(texts), np.int64)
+        shift = at - block.starts[tests]
+        order = np.lexsort((at, shift))
+        ends = np.flatnonzero(np.append((np.diff(shift[order]) != 0) | (np.diff(at[order]) != 1), True)) if len(at) else np.zeros(0, np.int64)
+        heads = np.append(0, ends + 1)[: len(ends)]
+        np.maximum.at(longest, docs[order[heads]], ends - heads + block.window[tests[order[heads]]])
+        return cls(shard.counts, hit, [sorted(i) for i in items], longest)
+
+
+_COLUMNS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long"
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and
+    longest (words of the longest verbatim match with an item, where a window occurs)."""
+    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    kind = source.schema[0].dataType.simpleString()
+    items, blocks = _items(benchmark, block_bytes)
+    if blocks == 1:
+        return source.mapInArrow(partial(_hit_rows, held=_sent(items, 0, window)), f"doc_id {kind}, {_COLUMNS}")
+    passes = _passes(source, items, blocks, window)
+    sha = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    keyed = source.withColumn("row", _row_key()).mapInArrow(_word_counts, f"doc_id {kind}, row long, n_words long")
+    out = keyed.join(passes, "row", "left")
+    none = F.array().cast("array<string>")
+    return out.withColumn("items", F.coalesce("items", none)).select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"), F.coalesce("longest", F.lit(0)).alias("longest"),
+    )
+
+
+def _row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def _passes(keyed: DataFrame, items: DataFrame, blocks: int, window: int) -> DataFrame:
+    """row, n_hit, items, longest of the texts in which an item of any block occurs."""
+    rows = keyed.select(_row_key().alias("row"), F.col("text").cast("string").alias("text"))
+    parts = []
+    for block in range(blocks):
+        held = _sent(items, block, window)
+        parts.append(materialise(rows.mapInArrow(partial(_found_rows, held=held), "row long, a long, b long, item string, longest long"), "hits"))
+        held.destroy()
+    every = reduce(DataFrame.unionByName, parts).distinct()
+    runs = F.array_sort(F.collect_set(F.when(F.col("item").isNull(), F.struct("a", "b"))))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    add = lambda s, r: F.struct((s.n + F.greatest(r.b - F.greatest(r.a, s.end), F.lit(0))).alias("n"), F.greatest(s.end, r.b).alias("end"))
+    return every.groupBy("row").agg(F.aggregate(runs, start, add, lambda s: s.n).alias("n_hit"), F.collect_set("item").alias("items"), F.max("longest").alias("longest"))
+
+
+def _hit_rows(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text", SHARD_BYTES):
+            f = Finds.of(part.column(1).to_pylist(), held.value)
+            n_hit = [sum(b - a for a, b in runs) for runs in f.hit]
+            digests = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in f.items]
+            columns = [pa.array(f.counts), pa.array(n_hit, pa.int64()), pa.array(map(len, f.items), pa.int64()), pa.array(digests), pa.array([n > 0 for n in n_hit]), pa.array(f.longest)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", *(c.split()[0] for c in _COLUMNS.split(", "))])
+
+
+def _found_rows(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
+    """A row for each run of words hit (without item) and for each item of a text."""
+    for batch in batches:
+        for part in slices(batch, "text", SHARD_BYTES):
+            f = Finds.of(part.column(1).to_pylist(), held.value)
+            rows = [(d, a, b, None) for d, runs in enumerate(f.hit) for a, b in runs] + [(d, None, None, i) for d, names in enumerate(f.items) for i in names]
+            if rows:
+                d, a, b, item = zip(*rows, strict=True)
+                columns = [part.column(0).take(pa.array(d)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(item, pa.string()), pa.array(f.longest[list(d)])]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "a", "b", "item", "longest"])
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [len(solid(words_of(t))) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(counts, pa.int64())], ["doc_id", "row", "n_words"])
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark, with their own columns."""
-    blocks = _blocks(benchmark, window, BLOCK_BYTES)
-    at = docs.columns.index("text")
+    items, blocks = _items(benchmark, block_bytes)
+    if blocks > 1:
+        (key,) = fresh(docs, "own_row")
+        found = _passes(docs.select("doc_id", "text"), items, blocks, window).select(F.col("row").alias(key))
+        return docs.withColumn(key, _row_key()).join(found, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    held, at = _sent(items, 0, window), docs.columns.index("text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, at, SHARD_BYTES):
-                rows = _hits_of(part.column(at).to_pylist(), [b.value for b in blocks])
-                yield part.filter(pa.array([r[1] == 0 for r in rows], pa.bool_()))
+                f = Finds.of(part.column(at).to_pylist(), held.value)
+                yield part.filter(pa.array([not runs for runs in f.hit], pa.bool_()))
 
     return docs.mapInArrow(task, docs.schema)
 
@@ -229,25 +304,34 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW)
     """For each test suffix with a match of ``least`` words or more: item_id, offset
     (words), length, doc_id and position of a longest one, the smallest of equals.
     Each shard reports its best, so hot passages cost a row per shard."""
-    blocks = _blocks(benchmark, least, BLOCK_BYTES)
+    items, blocks = _items(benchmark, BLOCK_BYTES)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
+        block = held.value
         for batch in batches:
             for part in slices(batch, "text", SHARD_BYTES):
-                for block in (b.value for b in blocks):
-                    shard = Shard(part.column(1).to_pylist(), block)
-                    _, best, where = shard.search(block)
-                    q = np.flatnonzero(best >= least)
-                    d = np.searchsorted(shard.first, where[q], "right") - 1
-                    begins = np.flatnonzero(np.diff(block.item, prepend=-1))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([block.names[i] for i in block.item[q]], pa.string()), pa.array(q - begins[block.item[q]], pa.int64()),
-                         pa.array(best[q], pa.int64()), part.column(0).take(pa.array(d)), pa.array(where[q] - shard.first[d], pa.int64())],
-                        ["item_id", "offset", "length", "doc_id", "position"],
-                    )
+                shard = Shard(part.column(1).to_pylist(), block)
+                _, best, where = shard.search(block)
+                q = np.flatnonzero(best >= least)
+                d = np.searchsorted(shard.first, where[q], "right") - 1
+                begins = np.flatnonzero(np.diff(block.item, prepend=-1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block.names[i] for i in block.item[q]], pa.string()), pa.array(q - begins[block.item[q]], pa.int64()),
+                     pa.array(best[q], pa.int64()), part.column(0).take(pa.array(d)), pa.array(where[q] - shard.first[d], pa.int64())],
+                    ["item_id", "offset", "length", "doc_id", "position"],
+                )
 
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = source.schema[0].dataType.simpleString()
-    found = source.mapInArrow(task, f"item_id string, offset long, length long, doc_id {kind}, position long")
+    schema = f"item_id string, offset long, length long, doc_id {kind}, position long"
+    if blocks == 1:
+        found = source.mapInArrow(partial(task, held=_sent(items, 0, least)), schema)
+    else:  # one block at a time
+        parts = []
+        for block in range(blocks):
+            held = _sent(items, block, least)
+            parts.append(materialise(source.mapInArrow(partial(task, held=held), schema), "matches"))
+            held.destroy()
+        found = reduce(DataFrame.unionByName, parts)
     best = F.min(F.struct((-F.col("length")).alias("l"), "doc_id", "position")).alias("b")
     return found.groupBy("item_id", "offset").agg(best).select("item_id", "offset", (-F.col("b.l")).alias("length"), "b.doc_id", "b.position")

@@ -51,19 +51,24 @@ OP10 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
 bw AS (
-  SELECT DISTINCT item_id, least(len(ws), 10) AS m, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS s
+  SELECT DISTINCT item_id, least(len(ws), 10) AS m, i AS k, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS s
   FROM b, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS u(i) WHERE len(ws) > 0),
 dw AS (
   SELECT doc_id, i, m, array_to_string(ws[i : i + m - 1], ' ') AS s
   FROM d, (SELECT DISTINCT m FROM bw), unnest(range(1, CAST(len(ws) - m + 2 AS BIGINT))) AS u(i)),
-hit AS (SELECT doc_id, i, m, item_id FROM dw JOIN bw USING (m, s)),
+hit AS (SELECT doc_id, i, m, item_id, k FROM dw JOIN bw USING (m, s)),
+runs AS (
+  SELECT doc_id, max(n) AS longest FROM (
+    SELECT doc_id, count(*) + any_value(m) - 1 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - k ORDER BY i) AS run FROM hit)
+    GROUP BY doc_id, item_id, i - k, run) GROUP BY doc_id),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s
   FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(longest, 0) AS BIGINT) AS longest
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN runs USING (doc_id)
 """
 
 

@@ -11,4 +11,4 @@ from ..compare import assert_same, connect
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, sf_dir, name):
-    assert_same(queries.queries()[name](spark, sf_dir), queries.oracle_sql()[name], connect(sf_dir)) > 0
+    assert assert_same(queries.queries()[name](spark, sf_dir), queries.oracle_sql()[name], connect(sf_dir)) > 0

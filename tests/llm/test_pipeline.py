@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strataspan.llm import decontam, jaccard, queries, sql
@@ -40,6 +41,19 @@ def dirty(text, passages):
     return any(tuple(w[i : i + m]) in passages for m in {len(p) for p in passages} for i in range(len(w) - m + 1))
 
 
+def longest(text, items):
+    """The longest run of words that a text has in common with an item, if a window is in it."""
+    w, best = ASCII.findall((text or "").translate(FOLD)), 0
+    for item in items:
+        v = ASCII.findall((item or "").translate(FOLD))
+        for shift in range(-len(v), len(w)):
+            run = 0
+            for j in range(len(v)):
+                run = run + 1 if 0 <= shift + j < len(w) and w[shift + j] == v[j] else 0
+                best = max(best, run if run >= min(10, len(v)) else 0)
+    return best
+
+
 def test_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas()
     texts = dict(zip(docs.doc_id, docs.text, strict=True))
@@ -87,6 +101,12 @@ def test_decontamination_odd(spark):
     texts = dict(docs.select("doc_id", "text").collect())
     assert {r.doc_id: r.contaminated for r in rows} == {d: dirty(t, passages) for d, t in texts.items()}
     assert sum(r.n_items == 2 for r in rows) == 0 and [r.n_items for r in rows if texts[r.doc_id] == "b c"] == [1]
+    whole = {r.doc_id: tuple(r) for r in decontam.hits(docs, bench).collect()}
+    assert {r.doc_id: tuple(r) for r in rows} == whole  # passes by block find the same
+    assert {d: r[-1] for d, r in whole.items()} == {d: longest(t, bench.toPandas().text) for d, t in texts.items()}
+    unnamed = bench.withColumn("item_id", F.when(F.col("item_id") != 4, F.col("item_id")))
+    assert {r.doc_id: r.n_items for r in decontam.hits(docs, unnamed).collect()} == {d: r[3] for d, r in whole.items()}
+    assert decontam.remove_contaminated(docs, bench, block_bytes=8).count() == sum(not dirty(t, passages) for t in texts.values())
     assert decontam.remove_contaminated(docs, bench).count() == sum(not dirty(t, passages) for t in texts.values())
     assert decontam.hits(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontam.hits(docs.limit(0), bench).count() == 0
