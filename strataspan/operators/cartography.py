@@ -49,8 +49,38 @@ def thin_ring(points: np.ndarray, tolerance: float) -> np.ndarray:
     return kept if len(kept) >= 4 else np.arange(len(points))
 
 
+def crosses_itself(points: np.ndarray) -> bool:
+    """Whether two sides of a line or ring that aren't neighbours meet."""
+    a, b = points[:-1], points[1:]
+    closed = (points[0] == points[-1]).all()
+
+    def side(p: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
+
+    for i in range(len(a) - 2):
+        far = slice(i + 2, len(a) - 1 if closed and i == 0 else len(a))
+        c, d = a[far], b[far]
+        near = (np.maximum(a[i], b[i]) >= np.minimum(c, d)).all(1) & (np.minimum(a[i], b[i]) <= np.maximum(c, d)).all(1)
+        if (near & (side(a[i], b[i], c) * side(a[i], b[i], d) <= 0) & (side(c, d, a[i]) * side(c, d, b[i]) <= 0)).any():
+            return True
+    return False
+
+
+def thin_safely(points: np.ndarray, tolerance: float) -> np.ndarray:
+    """Like thin_ring and thin_line, but the result doesn't cross itself where the original
+    doesn't: the tolerance is halved until it holds, at last all points stay."""
+    thin = thin_ring if (points[0] == points[-1]).all() else thin_line
+    while tolerance > 0:
+        kept = thin(points, tolerance)
+        if len(kept) == len(points) or not crosses_itself(points[kept]):
+            return kept
+        tolerance = tolerance / 2 if tolerance > 1e-12 else 0.0
+    return np.arange(len(points))
+
+
 def simplify(shapes: DataFrame, column: str, tolerance: str) -> DataFrame:
-    """Rings (or open lines) with points closer than the row's tolerance dropped."""
+    """Rings (or open lines) with points closer than the row's tolerance dropped; none crosses
+    itself for that."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -60,7 +90,7 @@ def simplify(shapes: DataFrame, column: str, tolerance: str) -> DataFrame:
                     out.append(ring)
                     continue
                 xy = np.array([(p["x"], p["y"]) for p in ring])
-                kept = thin_ring(xy, tol) if (xy[0] == xy[-1]).all() else thin_line(xy, tol)
+                kept = thin_safely(xy, tol)
                 out.append([ring[i] for i in kept])
             yield f.assign(**{column: out})
 

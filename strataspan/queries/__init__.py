@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["spatial", "rasters", "catalogs", "texts"]
+MODULES = ["spatial", "rasters", "catalogs", "texts", "layers"]
 
 
 def all_queries() -> dict:

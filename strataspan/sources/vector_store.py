@@ -64,3 +64,18 @@ class VectorStore:
         """A store at another root with one batch."""
         self.rows().select("*", F.lit(1).cast("long").alias("batch"), F.lit(False).alias("gone")).write.parquet(to)
         return VectorStore(self.spark, to)
+
+    def add(self, collection: str, chunks: DataFrame) -> None:
+        """Chunks whose ids are new; ids that the collection has keep their rows."""
+        self.upsert(collection, chunks.join(self.rows(collection).select("id"), "id", "left_anti"))
+
+    def migrate(self, to: VectorStore) -> DataFrame:
+        """collection, n of all collections copied into another store; raises where the counts differ."""
+        for (name,) in self.rows().select("collection").distinct().toLocalIterator():
+            to.upsert(name, self.rows(name).drop("collection"))
+        here, there = (s.rows().groupBy("collection").agg(F.count("*").alias(n)) for s, n in ((self, "n"), (to, "arrived")))
+        both = here.join(there, "collection", "left")
+        lost = both.filter("arrived is null or arrived <> n").first()
+        if lost is not None:
+            raise ValueError(f"{lost['n']} rows of {lost['collection']} gave {lost['arrived']}")
+        return both.select("collection", "n")
