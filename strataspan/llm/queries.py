@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, lines, mixing, phrases, pii, quality, sql, suffixes, tokens
+from . import align, chat, decontam, jaccard, lines, mixing, phrases, pii, quality, spelling, sql, suffixes, tokens, urls
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,8 +86,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+# Host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_chat_format, op4_token_counts, op5_pii, op6_quality, op7_suffix_dedup, op8_mixing, op9_substring_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard, op3_chat_format, op4_token_counts, op5_pii, op6_quality, op7_suffix_dedup, op8_mixing, op9_substring_dedup, op10_decontaminate, op11_token_alignment, op12_spelling_variants, op13_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -96,4 +112,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality": sql.OP6,
         "op8_mixing": sql.mixing(MIX_WEIGHTS),
         "op10_decontaminate": sql.OP10,
+        "op13_url_filter": sql.url_filter(URL_RULES, urls.MASS, urls.DAMPING, urls.ROUNDS, urls.SHARE),
     }

@@ -114,3 +114,37 @@ def mixing(weights: dict[str, dict[str, int]], source: str = "documents", seed:
         "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, domain, lang, source, n_tokens, CAST(whole AS BIGINT) AS epoch FROM placed WHERE upto <= rest"
         "\nUNION ALL SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(0, whole)) AS BIGINT) AS epoch FROM placed WHERE whole > 0"
     )
+
+
+def url_filter(rules: list[tuple[str, str, str]], mass: int, damping: int, rounds: int, share: int) -> str:
+    """Rules, then both rankings round by round in whole numbers."""
+    fold = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    part = lambda i: rf"regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', {i})"
+    longest = sorted(rules, key=lambda r: (-len(r[0]) - len(r[1]), -len(r[0])))
+    case = lambda out: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{out(h, p, v)}'" for h, p, v in longest) + " END"
+    link = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+    ctes = [
+        f"p AS (SELECT page_id, html, {fold.format(part(1))} AS host, {part(2)} AS path FROM pages)",
+        f"r AS (SELECT *, {case(lambda h, p, v: h + p)} AS rule, {case(lambda h, p, v: v)} AS said FROM p)",
+        f"a AS (SELECT host AS src, {fold.format(f'unnest(regexp_extract_all(html, $${link}$$, 1))')} AS dst FROM p WHERE host <> '')",
+        "links AS (SELECT src, dst, count(*) AS w FROM a WHERE src <> dst GROUP BY ALL)",
+        "hosts AS (SELECT host FROM p WHERE host <> '' UNION SELECT dst FROM links)",
+        r"l AS (SELECT string_split(host, '.') AS l FROM hosts WHERE regexp_matches(host, '^[^.]+\..*\.[^.]*[a-z][^.]*$'))",
+        "up AS (SELECT DISTINCT array_to_string(l[i :], '.') AS host, array_to_string(l[i + 1 :], '.') AS above FROM l, unnest(range(1, len(l) - 1)) AS u(i))",
+        """e AS (SELECT src, dst, CAST(sum(w) AS BIGINT) AS w FROM (SELECT * FROM links UNION ALL SELECT host, above, 1 FROM up UNION ALL SELECT above, host, 1 FROM up) GROUP BY ALL)""",
+        "way AS (SELECT *, sum(w) OVER (PARTITION BY kind, host) AS total FROM (SELECT 'trust' AS kind, src AS host, dst AS goal, w FROM e UNION ALL SELECT 'distrust', dst, src, w FROM e))",
+        "n AS (SELECT CASE said WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM r WHERE host <> '' AND said IS NOT NULL GROUP BY ALL)",
+        f"s0 AS MATERIALIZED (SELECT kind, host, CAST(CAST({mass} AS HUGEINT) * n // sum(n) OVER (PARTITION BY kind) AS BIGINT) AS score FROM n)",
+    ]
+    for k in range(1, rounds + 1):
+        ctes.append(
+            f"s{k} AS MATERIALIZED (SELECT kind, host, CAST(({100 - damping} * sum(seed) + {damping} * sum(inflow)) // 100 AS BIGINT) AS score FROM ("
+            f"SELECT kind, host, score AS seed, 0 AS inflow FROM s0 UNION ALL SELECT kind, goal, 0, CAST(score AS HUGEINT) * w // total FROM s{k - 1} JOIN way USING (kind, host)) GROUP BY ALL)"
+        )
+    ctes.append(f"h AS (SELECT host, coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0) AS distrust FROM s{rounds} GROUP BY host)")
+    return (
+        "WITH " + ",\n".join(ctes) + f"""
+SELECT page_id, r.host, path, rule, coalesce(said, CASE WHEN 100 * distrust > {share} * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict,
+  CAST(coalesce(trust, 0) AS BIGINT) AS trust, CAST(coalesce(distrust, 0) AS BIGINT) AS distrust
+FROM r LEFT JOIN h ON r.host = h.host"""
+    )
