@@ -13,72 +13,73 @@ from ..schemas import BANDS
 from ..sources.tables import districts, load, points, scenes
 from ..storage import materialise
 from .ddb import DISTRICTS, POI, SCENES, with_
-from .rasters import HEIGHT, WIDTH, _sql, _value, scene
+from .rasters import PERIOD, SPOT, WIDTH, _sql, height, scene, sql_value
 
 GRID = raster_reads.Grid(113.9, 22.62, 0.001)
 LABEL = (113.95, 22.47)
 
 
 def s6_s7_generated(spark, d):
-    """Generated rows, written as Parquet and read back."""
-    at = spark.range(20000).select("id", (F.lit(113.7) + (F.col("id") * 7919 % 6000).cast("double") / 10000.0).alias("lon"), (F.col("id") % 7).alias("kind"))
+    """Generated rows, up to seven for each order, written as Parquet and read back."""
+    grown = load(spark, d, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.col("o_orderkey") % 7)).alias("k")).select((F.col("o_orderkey") * 7 + F.col("k")).alias("id"))
+    at = grown.select("id", (F.lit(113.7) + (F.col("id") * 7919 % 6000).cast("double") / 10000.0).alias("lon"), (F.col("id") % 7).alias("kind"))
     return materialise(at, "generated").groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("lon"), 6).alias("lon"))
 
 
 def s19_scaled(spark, d):
-    px = scene(spark, "c").withColumns({c: F.round(F.col(c) * 10000).cast("int") for c in ("b2", "b8")})
+    px = scene(spark, d, "c").withColumns({c: F.round(F.col(c) * 10000).cast("int") for c in ("b2", "b8")})
     return raster_reads.scaled(px, ["b2", "b8"]).agg(F.round(F.sum("b2"), 4).alias("b2"), F.round(F.sum("b8"), 4).alias("b8"))
 
 
 def s21_box_read(spark, d):
     """A box in 8 x 6 cells, with the default bands."""
-    out = raster_reads.read_box(scene(spark, "c"), GRID, (113.94, 22.522, 114.021, 22.602), 8, 6)
+    out = raster_reads.read_box(scene(spark, d, "c"), GRID, (113.94, 22.522, 114.021, 22.602), 8, 6)
     return out.select("y", "x", *[F.round(c, 6).alias(c) for c in ("b2", "b3", "b4")])
 
 
 def s22_tile_read(spark, d):
     """A map tile of zoom 12 in 256 x 256 cells."""
     tx, ty = (int(v) for v in ((113.98 + 180) / 360 * 4096, (0.5 - math.log(math.tan(math.pi / 4 + math.radians(22.55) / 2)) / (2 * math.pi)) * 4096))
-    return raster_reads.read_tile(scene(spark, "c"), GRID, 12, tx, ty, ["b4"]).select("y", "x", F.round("b4", 6).alias("b4"))
+    return raster_reads.read_tile(scene(spark, d, "c"), GRID, 12, tx, ty, ["b4"]).select("y", "x", F.round("b4", 6).alias("b4"))
 
 
 def s23_raster_info(spark, d):
-    out = raster_reads.info(scene(spark, "c"), GRID, list(raster.BAND_COLUMNS))
+    out = raster_reads.info(scene(spark, d, "c"), GRID, list(raster.BAND_COLUMNS))
     return out.select("scene_id", "height", "width", "n_bands", *[F.round(c, 6).alias(c) for c in "wsen"])
 
 
 def r11_water_agreement(spark, d):
     """Water by theme against a positive water index."""
     a, b = raster.theme("water"), raster.index_or_zero("ndwi") > 0
-    return scene(spark, "d").agg(F.count_if(a).alias("theme"), F.count_if(b).alias("by_index"), F.round(F.avg((a == b).cast("int")), 6).alias("agreement"))
+    return scene(spark, d, "d").agg(F.count_if(a).alias("theme"), F.count_if(b).alias("by_index"), F.round(F.avg((a == b).cast("int")), 6).alias("agreement"))
 
 
 def r17_smoothed(spark, d):
-    return raster_reads.smooth(scene(spark, "c"), "b8", HEIGHT, WIDTH).select("row", "col", F.round("b8", 6).alias("b8"))
+    return raster_reads.smooth(scene(spark, d, "c"), "b8", height(spark, d), WIDTH).select("row", "col", F.round("b8", 6).alias("b8"))
 
 
 def r22_objects(spark, d):
     """Blocks with bright or dark near infrared as objects, classed by their mean, the rest by pixel."""
-    px = scene(spark, "d")
+    px = scene(spark, d, "d")
     masks = px.filter("(row div 24 + col div 32) % 2 = 0").select("scene_id", "row", "col", (F.floor(F.col("row") / 24) * 100 + F.floor(F.col("col") / 32)).alias("mask"))
     out = raster_reads.label_objects(px, masks, F.col("b8"), F.when(F.col("mean") > 0.2, "green").otherwise("other"), F.when(F.col("b8") < 0.1, "water").otherwise("land"))
     return out.groupBy("label", F.col("mask").isNotNull().alias("object")).agg(F.count("*").alias("n"))
 
 
 def t12_masks(spark, d):
-    """Nested squares and a speck; small masks stay on top."""
-    px = scene(spark, "a").select("scene_id", "row", "col")
-    masks = [px.filter(where).withColumn("mask", F.lit(i)) for i, where in enumerate(_MASKS)]
+    """Nested squares and a speck every 120 rows; small masks stay on top."""
+    px = scene(spark, d, "a").select("scene_id", "row", "col")
+    masks = [px.filter(where).withColumn("mask", F.expr(f"row div {PERIOD} * 4 + {i}")) for i, where in enumerate(_MASKS)]
     union = masks[0].unionByName(masks[1]).unionByName(masks[2]).unionByName(masks[3])
     return raster_reads.overwrite_masks(union).groupBy("mask").agg(F.count("*").alias("n"))
 
 
-_MASKS = ["row < 60 AND col < 60", "row >= 20 AND row < 40 AND col >= 20 AND col < 40", "row >= 25 AND row < 30 AND col < 90", "row >= 30 AND row < 34 AND col >= 30 AND col < 34"]
+_MASKS = [f"row % {PERIOD} {rows} AND {cols}" for rows, cols in (("< 60", "col < 60"), ("BETWEEN 20 AND 39", "col BETWEEN 20 AND 39"), ("BETWEEN 25 AND 29", "col < 90"), ("BETWEEN 30 AND 33", "col BETWEEN 30 AND 33"))]
 
 
 def j12_class_names(spark, d):
     names = spark.createDataFrame([(0, "water"), (1, "other"), (2, "vegetation")], "label int, name string")
-    px = scene(spark, "c").groupBy(raster.pseudo_label().alias("label")).agg(F.count("*").alias("n"))
+    px = scene(spark, d, "c").groupBy(raster.pseudo_label().alias("label")).agg(F.count("*").alias("n"))
     return px.join(names, "label", "left").select("label", F.coalesce("name", F.lit("unknown")).alias("name"), "n")
 
 
@@ -213,39 +214,42 @@ def f21_type_map(spark, d):
 
 
 def _pixels(date: str) -> str:
-    cols = ", ".join(f"{_value(date, i)} AS {c}" for i, c in enumerate(raster.BAND_COLUMNS))
-    return f"px AS (SELECT y AS row, x AS col, {cols} FROM (SELECT i // {WIDTH} AS y, i % {WIDTH} AS x FROM range({HEIGHT * WIDTH}) t(i)))"
+    cols = ", ".join(f"{sql_value(date, i)} AS {c}" for i, c in enumerate(raster.BAND_COLUMNS))
+    return f"{SPOT}, px AS MATERIALIZED (SELECT y AS row, x AS col, {cols} FROM spot)"
 
 
 _SHAPE = "shoelace AS (SELECT id, count(*) AS sides, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area FROM (SELECT e.id, x1 - x0 AS x1, y1 - y0 AS y1, x2 - x0 AS x2, y2 - y0 AS y2 FROM edge e JOIN base USING (id)) GROUP BY id)"
 _WEIGHTS = "weight AS (SELECT o, exp(-0.5 * pow(o / 2.0::DOUBLE, 2)) / (SELECT sum(exp(-0.5 * pow(p / 2.0::DOUBLE, 2))) FROM range(-8, 9) s(p)) AS w FROM range(-8, 9) t(o))"
 
 
-def _mirror(at: str, size: int) -> str:
-    return f"CASE WHEN {at} < 0 THEN -1 - {at} WHEN {at} >= {size} THEN {2 * size - 1} - {at} ELSE {at} END"
+def _mirror(at: str, size: str) -> str:
+    return f"CASE WHEN {at} < 0 THEN -1 - {at} WHEN {at} >= {size} THEN 2 * {size} - 1 - {at} ELSE {at} END"
 
 
 _RATIO = """covered AS (SELECT d.id AS query_id, s.id, (least(d.maxx, s.e) - greatest(d.minx, s.w)) * (least(d.maxy, s.n) - greatest(d.miny, s.s)) / ((d.maxx - d.minx) * (d.maxy - d.miny)) AS ratio
   FROM district d JOIN scene s ON s.w < d.maxx AND d.minx < s.e AND s.s < d.maxy AND d.miny < s.n)"""
 
 QUERIES = {
-    "s6_s7_generated": (s6_s7_generated, "SELECT i % 7 AS kind, count(*) AS n, round(avg(113.7::DOUBLE + (i * 7919 % 6000)::DOUBLE / 10000.0::DOUBLE), 6) AS lon FROM range(20000) t(i) GROUP BY 1"),
-    "s19_scaled": (s19_scaled, with_(_pixels("c"), select="SELECT round(sum(b2), 4) AS b2, round(sum(b8), 4) AS b8 FROM px")),
+    "s6_s7_generated": (s6_s7_generated, "SELECT i % 7 AS kind, count(*) AS n, round(avg(113.7::DOUBLE + (i * 7919 % 6000)::DOUBLE / 10000.0::DOUBLE), 6) AS lon FROM (SELECT o_orderkey * 7 + unnest(range(0, o_orderkey % 7 + 1)) AS i FROM orders) GROUP BY 1"),
+    "s19_scaled": (s19_scaled, with_(_pixels("c"), select="SELECT round(sum(round(b2 * 10000) * 0.0001::DOUBLE), 4) AS b2, round(sum(round(b8 * 10000) * 0.0001::DOUBLE), 4) AS b8 FROM px")),
     # centres at 113.9005 + 0.001 col and 22.6195 - 0.001 row: columns 40 to 120, rows 18 to 97
     "s21_box_read": (s21_box_read, with_(_pixels("c"), select="SELECT ((row - 18) * 6) // 80 AS y, ((col - 40) * 8) // 81 AS x, round(avg(b2), 6) AS b2, round(avg(b3), 6) AS b3, round(avg(b4), 6) AS b4 FROM px WHERE col BETWEEN 40 AND 120 AND row BETWEEN 18 AND 97 GROUP BY 1, 2")),
     "s22_tile_read": (s22_tile_read, with_(_pixels("c"), select="""SELECT (wy % 256)::INT AS y, (wx % 256)::INT AS x, round(avg(b4), 6) AS b4 FROM (SELECT b4, floor((lon + 180) / 360 * 1048576)::BIGINT AS wx, floor((0.5 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi())) * 1048576)::BIGINT AS wy
   FROM (SELECT b4, 113.9::DOUBLE + (col + 0.5::DOUBLE) * 0.001::DOUBLE AS lon, 22.62::DOUBLE - (row + 0.5::DOUBLE) * 0.001::DOUBLE AS lat FROM px))
   WHERE wx // 256 = floor((113.98::DOUBLE + 180) / 360 * 4096) AND wy // 256 = floor((0.5 - ln(tan(pi() / 4 + radians(22.55::DOUBLE) / 2)) / (2 * pi())) * 4096) GROUP BY 1, 2""")),
-    "s23_raster_info": (s23_raster_info, "SELECT 'c' AS scene_id, 120 AS height, 160 AS width, 6 AS n_bands, 113.9::DOUBLE AS w, 22.5::DOUBLE AS s, 114.06::DOUBLE AS e, 22.62::DOUBLE AS n"),
+    "s23_raster_info": (s23_raster_info, with_(_pixels("c"), select="SELECT 'c' AS scene_id, h AS height, wd AS width, 6 AS n_bands, 113.9::DOUBLE AS w, round(22.62::DOUBLE - h * 0.001::DOUBLE, 6) AS s, round(113.9::DOUBLE + wd * 0.001::DOUBLE, 6) AS e, 22.62::DOUBLE AS n FROM (SELECT max(row) + 1 AS h, max(col) + 1 AS wd FROM px)")),
     "r11_water_agreement": (r11_water_agreement, _sql("d", select="SELECT count(*) FILTER (water_a) AS theme, count(*) FILTER (ndwi_a > 0) AS by_index, round(avg((water_a = (ndwi_a > 0))::INT), 6) AS agreement FROM rule")),
     "r17_smoothed": (r17_smoothed, with_(_pixels("c"), _WEIGHTS,
-        f"cell AS (SELECT r AS row, c AS col, w, {_mirror('(r + o)', HEIGHT)} AS src FROM range({HEIGHT}) a(r), range({WIDTH}) b(c), weight)",
+        "tall AS (SELECT unnest(range(h)) AS r, h FROM (SELECT max(row) + 1 AS h FROM px))",
+        f"cell AS (SELECT r AS row, c AS col, w, {_mirror('(r + o)', 'h')} AS src FROM tall, range({WIDTH}) b(c), weight)",
         "half AS (SELECT cell.row, cell.col, sum(b8 * w) AS v FROM cell JOIN px ON px.row = src AND px.col = cell.col GROUP BY ALL)",
-        f"cell2 AS (SELECT r AS row, c AS col, w, {_mirror('(c + o)', WIDTH)} AS src FROM range({HEIGHT}) a(r), range({WIDTH}) b(c), weight)",
+        f"cell2 AS (SELECT r AS row, c AS col, w, {_mirror('(c + o)', str(WIDTH))} AS src FROM tall, range({WIDTH}) b(c), weight)",
         select="SELECT cell2.row, cell2.col, round(sum(v * w), 6) AS b8 FROM cell2 JOIN half ON half.row = cell2.row AND half.col = src GROUP BY ALL")),
     "r22_objects": (r22_objects, with_(_pixels("d"), "cut AS (SELECT *, CASE WHEN (row // 24 + col // 32) % 2 = 0 THEN row // 24 * 100 + col // 32 END AS mask FROM px)",
         select="SELECT label, object, count(*) AS n FROM (SELECT mask IS NOT NULL AS object, CASE WHEN mask IS NOT NULL THEN CASE WHEN avg(b8) OVER (PARTITION BY mask) > 0.2 THEN 'green' ELSE 'other' END WHEN b8 < 0.1 THEN 'water' ELSE 'land' END AS label FROM cut) GROUP BY ALL")),
-    "t12_masks": (t12_masks, with_(_pixels("a"), select="SELECT mask, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN {_MASKS[i]} THEN {i}" for i in (1, 2, 0)) + " END AS mask FROM px) WHERE mask IS NOT NULL GROUP BY mask")),
+    "t12_masks": (t12_masks, with_(_pixels("a"), "mask AS (" + " UNION ALL ".join(f"SELECT row, col, row::BIGINT // {PERIOD} * 4 + {i} AS mask FROM px WHERE {m}" for i, m in enumerate(_MASKS)) + ")",
+        "size AS (SELECT mask, count(*) AS px FROM mask GROUP BY mask HAVING count(*) >= 150)",
+        select="SELECT mask, count(*) AS n FROM (SELECT row, col, arg_min(mask, (px, -mask)) AS mask FROM mask JOIN size USING (mask) GROUP BY row, col) GROUP BY mask")),
     "j12_class_names": (j12_class_names, _sql("c", select="SELECT label_a AS label, CASE label_a WHEN 0 THEN 'water' WHEN 1 THEN 'other' WHEN 2 THEN 'vegetation' ELSE 'unknown' END AS name, count(*) AS n FROM rule GROUP BY 1, 2")),
     "g7_wkt": (g7_wkt, with_(DISTRICTS, _SHAPE, select="SELECT id, (sides + 1)::INT AS n_points, round(area * 1e6, 3) AS area, true AS same_text, true AS same_json FROM shoelace")),
     "g14_simplified": (g14_simplified, with_(DISTRICTS, _SHAPE, select="SELECT id, (2 * sides + 1)::INT AS before, (sides + 1)::INT AS after, round(area * 1e6, 3) AS area FROM shoelace")),

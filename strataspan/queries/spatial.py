@@ -206,8 +206,9 @@ def g10_mercator(spark, d):
 
 
 def g11_ground_resolution(spark, d):
-    z = spark.range(0, 19).withColumnRenamed("id", "zoom")
-    return z.select("zoom", F.round(geo.metres_per_pixel(F.lit(22.5), F.col("zoom").cast("double")), 6).alias("mpp"))
+    """Metres per pixel at every point, by zoom: the least and the largest."""
+    z = points(spark, d).select("lat", F.explode(F.sequence(F.lit(0), F.lit(18))).alias("zoom")).withColumn("mpp", geo.metres_per_pixel(F.col("lat"), F.col("zoom").cast("double")))
+    return z.groupBy("zoom").agg(F.round(F.min("mpp"), 6).alias("least"), F.round(F.max("mpp"), 6).alias("most"))
 
 
 def g12_tiles(spark, d):
@@ -290,7 +291,7 @@ QUERIES = {
     "g5_intersection": (g5_intersection, None),
     "g8_envelope": (g8_envelope, with_(DISTRICTS, select="SELECT id, round(min(x), 6) AS w, round(min(y), 6) AS s, round(max(x), 6) AS e, round(max(y), 6) AS n FROM vertex GROUP BY id")),
     "g10_mercator": (g10_mercator, with_(POI, select=f"SELECT id, round({_MX}, 3) AS x, round({_MY}, 3) AS y, true AS round_trip FROM poi")),
-    "g11_ground_resolution": (g11_ground_resolution, "SELECT i AS zoom, round(156543.03392::DOUBLE * cos(radians(22.5::DOUBLE)) / pow(2.0::DOUBLE, i), 6) AS mpp FROM range(0, 19) AS t(i)"),
+    "g11_ground_resolution": (g11_ground_resolution, with_(POI, select="SELECT i::INT AS zoom, round(min(m), 6) AS least, round(max(m), 6) AS most FROM (SELECT i, 156543.03392::DOUBLE * cos(radians(lat)) / pow(2.0::DOUBLE, i) AS m FROM poi, range(0, 19) AS t(i)) GROUP BY i")),
     "g12_tiles": (g12_tiles, with_(POI, select="SELECT CAST(floor((lon + 180) / 360 * 4096) AS BIGINT) AS x, CAST(least(4095, greatest(0, floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 4096))) AS BIGINT) AS y, count(*) AS n FROM poi GROUP BY 1, 2")),
     "g13_pixel_area": (g13_pixel_area, with_(SCENES, select="SELECT id, round((e - w) * 111320.0::DOUBLE * cos(radians((s + n) / 2)) / 160 * ((n - s) * 110540.0::DOUBLE / 120) / 1e6, 6) AS km2 FROM scene")),
     "g15_hausdorff": (g15_hausdorff, with_(DISTRICTS, "one AS (SELECT a.id, a.i, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS m FROM vertex a JOIN vertex b ON b.id = a.id - 1 GROUP BY a.id, a.i)", "two AS (SELECT a.id + 1 AS id, a.i, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS m FROM vertex a JOIN vertex b ON b.id = a.id + 1 GROUP BY a.id, a.i)", select="SELECT id, round(max(m), 6) AS h FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY id")),

@@ -150,8 +150,10 @@ def f14_bands(spark, d):
 
 
 def f15_colors(spark, d):
-    c = spark.createDataFrame([(k, i, x) for k, v in symbology.PALETTES.items() for i, x in enumerate(v)], "palette string, i int, color string")
-    return c.select("palette", "i", *[symbology.channel(F.col("color"), k).alias(n) for k, n in enumerate("rgb")])
+    """Every customer's colour (each palette by nation, in turn) as channels, counted."""
+    c = spark.createDataFrame([(k, i, len(v), x) for k, v in symbology.PALETTES.items() for i, x in enumerate(v)], "palette string, i int, size int, color string")
+    painted = load(spark, d, "customer").join(F.broadcast(c), F.col("c_nationkey") % F.col("size") == F.col("i"))  # a fixed list of colours
+    return painted.groupBy("palette", *[symbology.channel(F.col("color"), k).alias(n) for k, n in enumerate("rgb")]).agg(F.count("*").alias("n"))
 
 
 PROFILED = [("part", "p_size"), ("labels", "quality"), ("customer", "c_acctbal"), ("lineitem", "l_tax"), ("nation", "n_regionkey")]
@@ -211,7 +213,7 @@ _LISTS = f"a AS ({_top(10)}), b AS ({_top(10, 'label % 2 = 0')}), l AS (SELECT q
 _HTML = r"""regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->|<![^>]*>|<[^>]*>', chr(1), 'g')"""
 _UNESCAPED = "replace(replace(replace(replace(replace(replace(p, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
 
-_COLORS = ", ".join(f"('{k}', {i}, '{c}')" for k, cs in symbology.PALETTES.items() for i, c in enumerate(cs))
+_COLORS = ", ".join(f"('{k}', {i}, {len(cs)}, '{c}')" for k, cs in symbology.PALETTES.items() for i, c in enumerate(cs))
 _CHANNELS = ", ".join(f"CAST(('0x' || substr(color, {2 + 2 * k}, 2)) AS INTEGER) AS {n}" for k, n in enumerate("rgb"))
 _KIND = "CASE WHEN n <= 10 AND whole THEN 'categorical' WHEN lo < 0 AND hi > 0 THEN 'diverging' ELSE 'sequential' END"
 _RANGES = " UNION ALL ".join(
@@ -242,7 +244,7 @@ QUERIES = {
     "x8_chunks": (x8_chunks, None),
     "x9_chunk_index": (x9_chunk_index, None),
     "f14_bands": (f14_bands, "SELECT CASE WHEN l_discount < 0.02::DOUBLE THEN '轻微' WHEN l_discount < 0.08::DOUBLE THEN '中等' ELSE '显著' END AS size, count(*) AS n FROM lineitem GROUP BY 1"),
-    "f15_colors": (f15_colors, f"SELECT palette, CAST(i AS INTEGER) AS i, {_CHANNELS} FROM (VALUES {_COLORS}) AS t(palette, i, color)"),
+    "f15_colors": (f15_colors, f"SELECT palette, {_CHANNELS}, count(*) AS n FROM (VALUES {_COLORS}) AS t(palette, i, size, color) JOIN customer ON c_nationkey % size = i GROUP BY ALL"),
     "m1_profiles": (m1_profiles, _PROFILES),
     "m3_styles": (m3_styles, None),
     "m4_generalise": (m4_generalise, None),
