@@ -1,15 +1,21 @@
 """A door for foreign SQL: one read-only query over known tables with known functions.
 
 Spark's own parser reads the statement; what it may hold is decided on the parsed plan,
-so quoting, aliases, comments and nesting make no difference.
+so quoting, aliases, comments and nesting make no difference. Spatial functions are
+registered with the session, and joins on a spatial predicate become joins on grid cells.
+Casts to geometry and geography say nothing here and are left out.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import spatial_sql
+from . import spatial_joins
+
 MAX_ROWS = 1000
 # Kinds of plan nodes that a read-only query is made of.
 NODES = {
@@ -21,8 +27,8 @@ FUNCTIONS = set(
     degrees endswith exp extract first floor greatest hour ifnull initcap instr isnan isnotnull isnull last lcase least left length like ln log log10 lower lpad ltrim
     max max_by mean median min min_by minute month named_struct nullif percentile pi pmod position pow power quarter radians regexp_extract regexp_like replace
     reverse right round row_number rank dense_rank lag lead ntile rpad rtrim second sign sin size split sqrt startswith stddev struct substr substring sum tan to_date
-    to_timestamp trim try_divide ucase upper variance when year st_x st_y st_within st_intersects st_dwithin st_distance""".split()
-)
+    to_timestamp trim try_divide ucase upper variance when year""".split()
+) | set(spatial_sql.PUBLIC)
 
 
 class Rejected(ValueError):
@@ -68,21 +74,30 @@ def _expression(spark: SparkSession, e, names: set[str]) -> None:
         _expression(spark, child, names)
 
 
-def check(spark: SparkSession, sql: str, tables: list[str], allow_with: bool = True) -> None:
-    """Raises ``Rejected`` unless ``sql`` is one query over ``tables``."""
+_CASTS = re.compile(r"""('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`[^`]*`|--[^\n]*|/\*.*?\*/)|::\s*geo(?:graphy|metry)\b(?:\s*\([^)]*\))?|\b(st_setsrid)(?=\s*\()""", re.I | re.S)
+
+
+def _parse(spark: SparkSession, sql: str):
+    """The parsed plan; quoted text and comments are kept as they are. Spark has a function
+    ST_SetSRID of its own, over other values, so statements' calls get another name."""
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.strip().rstrip(";").rstrip())
+        return spark._jsparkSession.sessionState().sqlParser().parsePlan(_CASTS.sub(lambda m: m[1] or ("st_with_srid" if m[2] else ""), sql.strip()).rstrip(";").rstrip())
     except Exception as error:
         raise Rejected(f"not one readable statement: {str(error).splitlines()[0]}") from error
+
+
+def check(spark: SparkSession, sql: str, tables: list[str], allow_with: bool = True):
+    """The parsed plan; raises ``Rejected`` unless ``sql`` is one query over ``tables``."""
+    plan = _parse(spark, sql)
     if not allow_with and _kind(plan) == "UnresolvedWith":
         raise Rejected("starts with WITH")
     _walk(spark, plan, {t.lower() for t in tables})
+    return plan
 
 
 def run(spark: SparkSession, sql: str, tables: list[str], limit: int = MAX_ROWS) -> DataFrame:
     """The query's first ``limit`` rows."""
-    check(spark, sql, tables)
-    return spark.sql(sql.strip().rstrip(";").rstrip()).limit(min(limit, MAX_ROWS))
+    return spatial_joins.run(spark, check(spark, sql, tables)).limit(min(limit, MAX_ROWS))
 
 
 def answer(spark: SparkSession, sql: str, tables: list[str]) -> dict:

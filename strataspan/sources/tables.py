@@ -44,6 +44,16 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def register_spatial(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Views poi, schools (the points of one type) and admin_boundary with a column geom."""
+    at = F.array(F.array(geo.point(F.col("lon"), F.col("lat"))))
+    poi = points(spark, sf_dir).withColumn("geom", at)
+    poi.createOrReplaceTempView("poi")
+    poi.filter("type = 'BUILDING'").createOrReplaceTempView("schools")
+    districts(spark, sf_dir).select("id", "name", "level", F.array("ring").alias("geom")).createOrReplaceTempView("admin_boundary")
+    return ["poi", "schools", "admin_boundary"]
+
+
 # Unit outlines of the derived districts: box, triangle, concave.
 OUTLINES = [
     [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)],
