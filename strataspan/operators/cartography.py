@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..schemas import RING
 from ..storage import materialise
+from .ranking import rank_rings
 
 # A label's font in pixels, width and height of a character in fonts, gap to the
 # point and half a marker in pixels; sides in order with the direction of the label.
@@ -166,31 +166,23 @@ def place_labels(features: DataFrame, view: list[str], mpp: Column | float) -> D
 
 def assemble_rings(parts: DataFrame, key: str) -> DataFrame:
     """key, ring: closed rings of lines (key, line) that meet at their ends; open chains and
-    rings without area are dropped."""
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = [[(p["x"], p["y"]) for p in line] for line in pdf["line"] if line is not None and len(line) > 1]
-        rings, ends = [], {}
-        for line in lines:
-            while line[0] != line[-1]:
-                other = next((ends[e] for e in (line[0], line[-1]) if e in ends), None)
-                if other is None:
-                    ends[line[0]] = ends[line[-1]] = line
-                    break
-                for e in (other[0], other[-1]):
-                    ends.pop(e, None)
-                if other[-1] == line[0]:
-                    line = other + line[1:]
-                elif other[0] == line[-1]:
-                    line = line + other[1:]
-                elif other[0] == line[0]:
-                    line = other[::-1] + line[1:]
-                else:
-                    line = line + other[::-1][1:]
-            else:
-                if len(line) > 3:
-                    rings.append([{"x": x, "y": y} for x, y in line])
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(rings), "ring": rings})
-
-    kind = parts.schema[key].dataType.simpleString()
-    return parts.groupBy(key).applyInPandas(chain, f"`{key}` {kind}, ring {RING}").filter(geo.area(F.col("ring")) > 1e-6)
+    rings without area are dropped. Where more than two lines end, they are taken in pairs.
+
+    A line can be walked both ways, so it is two arcs; arcs are ordered by list ranking and
+    of each ring's two directions the one is kept that walks its first line forward."""
+    own, key = key, "key_"  # its name can't clash then
+    lines = parts.filter(F.size("line") > 1).select(F.col(own).alias(key), "line", F.monotonically_increasing_id().alias("no"), F.get("line", F.lit(0)).alias("a"), F.element_at("line", -1).alias("b"))
+    lines = materialise(lines, "ring-lines")
+    ends = lines.filter("a <> b").select(key, "no", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("at")), F.struct(F.lit(1).alias("side"), F.col("b").alias("at")))).alias("e")).select(key, "no", "e.*")
+    ranked = ends.withColumn("rn", F.row_number().over(Window.partitionBy(key, "at").orderBy("no", "side")) - 1)
+    partner = ranked.select(key, "at", F.col("rn").bitwiseXOR(F.lit(1)).alias("rn"), (F.col("no") * 2 + F.col("side")).alias("next"))
+    # arriving at the end (side 1) walks forward, at the start backward; the next line starts where its end lies
+    links = ranked.join(partner, [key, "at", "rn"]).select(key, (F.col("no") * 2 + 1 - F.col("side")).alias("id"), "next")
+    arcs = rank_rings(links, [key])
+    first = arcs.groupBy(key, "ring").agg(F.min(F.shiftright("id", 1)).alias("first")).filter("ring = 2 * first").select(key, "ring")
+    walked = arcs.join(first, [key, "ring"]).withColumn("no", F.shiftright("id", 1)).join(lines.select(key, "no", "line"), [key, "no"])
+    way = F.when(F.col("id") % 2 == 0, F.col("line")).otherwise(F.reverse("line"))
+    step = F.struct("pos", F.slice(way, F.lit(1), F.size("line") - 1).alias("p"))
+    joined = walked.groupBy(key, "ring").agg(F.flatten(F.transform(F.sort_array(F.collect_list(step)), lambda s: s.p)).alias("r"))
+    rings = joined.select(key, F.concat("r", F.slice("r", 1, 1)).alias("ring")).unionByName(lines.filter("a = b").select(key, F.col("line").alias("ring")))
+    return rings.filter((F.size("ring") > 3) & (geo.area(F.col("ring")) > 1e-6)).withColumnRenamed(key, own)

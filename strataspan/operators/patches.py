@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..functions import geo
 from ..storage import materialise
+from .ranking import closed_rings, corners, link_pieces
 
 BLOCK = 256
 
@@ -84,9 +86,8 @@ def keep_large(mask: DataFrame, keys: list[str], min_px: int, block: int = BLOCK
     return labelled.join(sizes, [*keys, "patch"])
 
 
-def outlines(patches: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, patch, px, rings: outlines in pixel corners (x = column, y = row), the outer
-    one first. Only border pixels travel to a patch's task."""
+def _border(patches: DataFrame, keys: list[str]) -> DataFrame:
+    """Sides of pixels that have no pixel of their patch beyond, directed with the patch on the left."""
     here = patches.select(*keys, "patch", "px", "row", "col")
     sides = here.select(
         *keys, "patch", "px",
@@ -99,36 +100,23 @@ def outlines(patches: DataFrame, keys: list[str]) -> DataFrame:
         ])).alias("s"),
     ).select(*keys, "patch", "px", "s.*")
     inner = here.select(*keys, F.col("patch"), F.col("row").alias("nr"), F.col("col").alias("nc"))
-    border = sides.join(inner, [*keys, "patch", "nr", "nc"], "left_anti").select(*keys, "patch", "px", "x1", "y1", "x2", "y2")
-
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        nxt: dict[tuple, list] = {}
-        for x1, y1, x2, y2 in pdf[["x1", "y1", "x2", "y2"]].itertuples(index=False):
-            nxt.setdefault((x1, y1), []).append((x2, y2))
-        rings = []
-        while nxt:
-            start = min(nxt)
-            ring, at, came = [start], start, None
-            while True:
-                choices = nxt[at]
-                # at a corner that two pixels share, turn right, so that rings don't cross
-                pick = 0
-                if len(choices) > 1 and came is not None:
-                    dx, dy = at[0] - came[0], at[1] - came[1]
-                    pick = max(range(len(choices)), key=lambda i: dx * (choices[i][1] - at[1]) - dy * (choices[i][0] - at[0]))
-                to = choices.pop(pick)
-                if not choices:
-                    del nxt[at]
-                came, at = at, to
-                ring.append(at)
-                if at == start:
-                    break
-            corners = [p for i, p in enumerate(ring[:-1]) if (p[0] - ring[i - 1 if i else -2][0]) * (ring[i + 1][1] - p[1]) != (p[1] - ring[i - 1 if i else -2][1]) * (ring[i + 1][0] - p[0])]
-            rings.append([{"x": float(x), "y": float(y)} for x, y in [*corners, corners[0]]])
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "patch": pdf["patch"].iloc[0], "px": pdf["px"].iloc[0], "rings": rings}])
-
-    schema = StructType([f for f in border.schema.fields if f.name in (*keys, "patch", "px")])
-    text = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", rings array<array<struct<x:double,y:double>>>"
-    return border.groupBy(*keys, "patch", "px").applyInPandas(trace, text)
+    return sides.join(inner, [*keys, "patch", "nr", "nc"], "left_anti").select(*keys, "patch", "px", "x1", "y1", "x2", "y2")
+
+
+def outline_points(patches: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, patch, px, ring, pos, x, y: corners of the outlines in pixel corners (x = column,
+    y = row), the patch on the left. Sides are ordered by list ranking, so a patch may be
+    spread over any number of tasks."""
+    return _outline_points(patches, keys).select("key_.*", "ring", "pos", "x", "y")
 
 
+def _outline_points(patches: DataFrame, keys: list[str]) -> DataFrame:
+    packed = _border(patches, keys).select(F.struct(*keys, "patch", "px").alias("key_"), "x1", "y1", "x2", "y2")
+    return corners(link_pieces(packed, ["key_"]), ["key_"])
+
+
+def outlines(patches: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, patch, px, rings: each patch's outlines as arrays, the outer one first."""
+    rings = closed_rings(_outline_points(patches, keys), ["key_"])
+    sized = F.struct((-F.abs(geo.signed_area(F.col("ring")))).alias("less"), "id", "ring")
+    return rings.groupBy("key_").agg(F.transform(F.sort_array(F.collect_list(sized)), lambda r: r.ring).alias("rings")).select("key_.*", "rings")

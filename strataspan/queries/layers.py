@@ -7,10 +7,10 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import geo, raster, wkt
-from ..operators import cartography, polygons, raster_reads
+from ..operators import cartography, overlay, polygons, raster_reads
 from ..operators import spatial_join as sj
 from ..schemas import BANDS
-from ..sources.tables import districts, load, points, scenes
+from ..sources.tables import OUTLINES, districts, load, points, scenes
 from ..storage import materialise
 from .ddb import DISTRICTS, POI, SCENES, with_
 from .rasters import PERIOD, SPOT, WIDTH, _sql, height, scene, sql_value
@@ -112,6 +112,43 @@ def g17_ring_choice(spark, d):
     return polygons.choose_ring(b, ["level"], "x", "y").select("level", "id", "contains")
 
 
+def _arrows(spark, d):
+    """Districts, each with a concave arrow that lies across its borders."""
+    b = districts(spark, d)
+    arrow = F.array(*[geo.point(F.col("minx") + (0.5 + u) * 0.12, F.col("miny") + (0.4 + v) * 0.08) for u, v in OUTLINES[2]])
+    return b.select("id", F.array("ring").alias("a"), F.array(arrow).alias("b"))
+
+
+def g5_overlay(spark, d):
+    """Areas of intersection, union and difference of concave polygons."""
+    out = districts(spark, d).select("id")
+    for how in ("intersection", "union", "difference"):
+        areas = overlay.overlay_areas(_arrows(spark, d), ["id"], "a", "b", how).select("id", F.round(F.col("area") * 1e6, 3).alias(how))
+        out = out.join(areas, "id", "left").withColumn(how, F.coalesce(how, F.lit(0.0)))
+    return out
+
+
+def g5_parts(spark, d):
+    """The polygons of the differences: their number and that of holes."""
+    out = overlay.overlay(_arrows(spark, d), ["id"], "a", "b", "difference")
+    return out.groupBy("id").agg(F.count("*").alias("parts"), F.sum(F.size("holes")).alias("holes"), F.round(F.sum(polygons.area_with_holes(F.col("ring"), F.col("holes"))) * 1e6, 3).alias("area"))
+
+
+def g16_repaired(spark, d):
+    """A ring through the corners of each scene's box in the wrong order becomes two triangles."""
+    corners = [geo.point(F.col(x), F.col(y)) for x, y in ("ws", "en", "es", "wn", "ws")]
+    out = overlay.repaired_areas(scenes(spark, d).select("id", F.array(F.array(*corners)).alias("rings")), ["id"], "rings")
+    return out.select("id", F.round("area", 6).alias("area"))
+
+
+def g16_assembled(spark, d):
+    """Districts put together from their sides, every second one of which is turned round."""
+    side = lambda e, i: F.when(i % 2 == 0, F.array(geo.point(e.x1, e.y1), geo.point(e.x2, e.y2))).otherwise(F.array(geo.point(e.x2, e.y2), geo.point(e.x1, e.y1)))
+    lines = districts(spark, d).select("id", F.explode(F.transform(geo.edges(F.col("ring")), side)).alias("line"))
+    out = cartography.assemble_rings(lines, "id")
+    return out.select("id", F.size("ring").alias("corners"), F.round(geo.area(F.col("ring")) * 1e6, 3).alias("area"))
+
+
 def g21_bounds(spark, d):
     """Mercator bounds of scenes back in degrees."""
     s = scenes(spark, d)
@@ -222,6 +259,21 @@ _SHAPE = "shoelace AS (SELECT id, count(*) AS sides, abs(sum(x1 * y2 - x2 * y1))
 _WEIGHTS = "weight AS (SELECT o, exp(-0.5 * pow(o / 2.0::DOUBLE, 2)) / (SELECT sum(exp(-0.5 * pow(p / 2.0::DOUBLE, 2))) FROM range(-8, 9) s(p)) AS w FROM range(-8, 9) t(o))"
 
 
+_ARROW = ", ".join(f"({i}, {0.5 + u}::DOUBLE, {0.4 + v}::DOUBLE)" for i, (u, v) in enumerate(OUTLINES[2]))
+# Lengths of the spans at half height of slabs between all corners and crossings.
+_SLABS = f"""tip(i, u, v) AS (VALUES {_ARROW}),
+both_ AS (SELECT id, 'a' AS side, x1, y1, x2, y2 FROM edge UNION ALL SELECT * FROM (SELECT id, 'b' AS side, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2
+  FROM (SELECT id, i, x0 + u * 0.12::DOUBLE AS x, y0 + v * 0.08::DOUBLE AS y FROM base, tip) WINDOW w AS (PARTITION BY id ORDER BY i)) WHERE x2 IS NOT NULL),
+level AS (SELECT DISTINCT id, y FROM (SELECT id, y1 AS y FROM both_ UNION ALL SELECT p.id, p.y1 + ((q.x1 - p.x1) * (q.y2 - q.y1) - (q.y1 - p.y1) * (q.x2 - q.x1)) / d * (p.y2 - p.y1)
+  FROM (SELECT p, q, (p.x2 - p.x1) * (q.y2 - q.y1) - (p.y2 - p.y1) * (q.x2 - q.x1) AS d FROM both_ p JOIN both_ q ON p.id = q.id AND p.side < q.side) WHERE d <> 0)),
+slab AS (SELECT id, y AS lo, lead(y) OVER (PARTITION BY id ORDER BY y) AS hi FROM level),
+hit AS (SELECT s.id, side, lo, hi, x1 + (x2 - x1) * ((lo + hi) / 2 - y1) / (y2 - y1) AS x FROM slab s JOIN both_ b ON s.id = b.id AND (y1 > (lo + hi) / 2) <> (y2 > (lo + hi) / 2)),
+span AS (SELECT * FROM (SELECT id, side, lo, hi, x AS l, lead(x) OVER w AS r, row_number() OVER w AS k FROM hit WINDOW w AS (PARTITION BY id, side, lo ORDER BY x)) WHERE k % 2 = 1),
+own AS (SELECT id, sum((r - l) * (hi - lo)) FILTER (side = 'a') AS a, sum((r - l) * (hi - lo)) FILTER (side = 'b') AS b FROM span GROUP BY id),
+shared AS (SELECT p.id, sum(greatest(0, least(p.r, q.r) - greatest(p.l, q.l)) * (p.hi - p.lo)) AS m FROM span p JOIN span q ON p.id = q.id AND p.lo = q.lo AND p.side = 'a' AND q.side = 'b' GROUP BY p.id),
+sums AS (SELECT id, coalesce(m, 0) AS m, a, b FROM own LEFT JOIN shared USING (id))"""
+
+
 def _mirror(at: str, size: str) -> str:
     return f"CASE WHEN {at} < 0 THEN -1 - {at} WHEN {at} >= {size} THEN 2 * {size} - 1 - {at} ELSE {at} END"
 
@@ -254,6 +306,10 @@ QUERIES = {
     "g7_wkt": (g7_wkt, with_(DISTRICTS, _SHAPE, select="SELECT id, (sides + 1)::INT AS n_points, round(area * 1e6, 3) AS area, true AS same_text, true AS same_json FROM shoelace")),
     "g14_simplified": (g14_simplified, with_(DISTRICTS, _SHAPE, select="SELECT id, (2 * sides + 1)::INT AS before, (sides + 1)::INT AS after, round(area * 1e6, 3) AS area FROM shoelace")),
     "j10_holes": (j10_holes, with_(DISTRICTS, _SHAPE, select="SELECT id AS shell, 1 AS holes, round((area - 0.012::DOUBLE * 0.008::DOUBLE) * 1e6, 3) AS area FROM shoelace")),
+    "g5_overlay": (g5_overlay, with_(DISTRICTS, _SLABS, select='SELECT id, round(m * 1e6, 3) AS "intersection", round((a + b - m) * 1e6, 3) AS "union", round((a - m) * 1e6, 3) AS "difference" FROM sums')),
+    "g5_parts": (g5_parts, None),
+    "g16_repaired": (g16_repaired, with_(SCENES, select="SELECT id, round((e - w) * (n - s) / 2, 6) AS area FROM scene")),
+    "g16_assembled": (g16_assembled, with_(DISTRICTS, _SHAPE, select="SELECT id, (sides + 1)::INT AS corners, round(area * 1e6, 3) AS area FROM shoelace")),
     "g17_ring_choice": (g17_ring_choice, with_(DISTRICTS, _SHAPE,
         f"""hit AS (SELECT id, sum(CASE WHEN (y1 > {LABEL[1]}::DOUBLE) <> (y2 > {LABEL[1]}::DOUBLE) AND {LABEL[0]}::DOUBLE < (x2 - x1) * ({LABEL[1]}::DOUBLE - y1) / (CASE WHEN y1 = y2 THEN 1 ELSE y2 - y1 END) + x1 THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM edge GROUP BY id)""",
         select="SELECT level, id, inside AS contains FROM (SELECT level, id, inside, row_number() OVER (PARTITION BY level ORDER BY inside DESC, round(area, 12) DESC, id) AS k FROM base JOIN shoelace USING (id) JOIN hit USING (id)) WHERE k = 1")),

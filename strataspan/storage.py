@@ -27,4 +27,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a stage and read it back, which cuts its lineage."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path  # for discard()
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stages that no later plan reads."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
