@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import geo, raster, wkt
-from ..operators import cartography, overlay, polygons, raster_reads
+from ..operators import cartography, coverage, overlay, polygons, raster_reads
 from ..operators import spatial_join as sj
 from ..schemas import BANDS
 from ..sources.tables import OUTLINES, districts, load, points, scenes
@@ -98,6 +98,17 @@ def g14_simplified(spark, d):
     return out.select("id", "before", F.size("ring").alias("after"), F.round(geo.area(F.col("ring")) * 1e6, 3).alias("area"))
 
 
+def g14_coverage(spark, d):
+    """Districts with more corners on their sides than they need, simplified together."""
+    def between(e, k):
+        return geo.point(e.x1 + (e.x2 - e.x1) * k / 4, e.y1 + (e.y2 - e.y1) * k / 4)
+
+    dense = F.flatten(F.transform(geo.edges(F.col("ring")), lambda e: F.array(geo.point(e.x1, e.y1), between(e, 1), between(e, 2), between(e, 3))))
+    b = districts(spark, d).select("id", F.array(F.concat(dense, F.slice("ring", 1, 1))).alias("rings"))
+    out = coverage.simplified_areas(b, "id", "rings", 1e-6)
+    return out.select("id", F.round(F.col("area") * 1e6, 3).alias("area"))
+
+
 def j10_holes(spark, d):
     """Every district with a small box in its lower half as a hole."""
     b = districts(spark, d).withColumn("level", F.lit("all"))
@@ -305,6 +316,7 @@ QUERIES = {
     "j12_class_names": (j12_class_names, _sql("c", select="SELECT label_a AS label, CASE label_a WHEN 0 THEN 'water' WHEN 1 THEN 'other' WHEN 2 THEN 'vegetation' ELSE 'unknown' END AS name, count(*) AS n FROM rule GROUP BY 1, 2")),
     "g7_wkt": (g7_wkt, with_(DISTRICTS, _SHAPE, select="SELECT id, (sides + 1)::INT AS n_points, round(area * 1e6, 3) AS area, true AS same_text, true AS same_json FROM shoelace")),
     "g14_simplified": (g14_simplified, with_(DISTRICTS, _SHAPE, select="SELECT id, (2 * sides + 1)::INT AS before, (sides + 1)::INT AS after, round(area * 1e6, 3) AS area FROM shoelace")),
+    "g14_coverage": (g14_coverage, with_(DISTRICTS, _SHAPE, select="SELECT id, round(area * 1e6, 3) AS area FROM shoelace")),
     "j10_holes": (j10_holes, with_(DISTRICTS, _SHAPE, select="SELECT id AS shell, 1 AS holes, round((area - 0.012::DOUBLE * 0.008::DOUBLE) * 1e6, 3) AS area FROM shoelace")),
     "g5_overlay": (g5_overlay, with_(DISTRICTS, _SLABS, select='SELECT id, round(m * 1e6, 3) AS "intersection", round((a + b - m) * 1e6, 3) AS "union", round((a - m) * 1e6, 3) AS "difference" FROM sums')),
     "g5_parts": (g5_parts, None),
