@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import geo, symbology, text
 from ..operators import cartography, retrieval
 from ..sources.tables import districts, load, points, scenes
+from ..sources.text_index import TextIndex
+from ..storage import shared_folder
 from .ddb import POI, SCENES, with_
 
 
@@ -25,6 +28,23 @@ def x5_bm25(spark, d):
     return out.select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
+def x5_indexed(spark, d):
+    """The same from a stored index: every second document is added with another text first and then replaced, every fifth is deleted and added again."""
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    index = TextIndex(spark, f"{shared_folder(spark)}/text-index-{uuid.uuid4().hex}")
+    index.add(docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.reverse("text")).otherwise(F.col("text")).alias("text")))
+    index.delete(docs.filter("doc_id % 5 = 0"))
+    index.add(docs.filter("doc_id % 2 = 0 or doc_id % 5 = 0"))
+    return index.search(_asked(spark, d), 5).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
+def x9_chunk_search(spark, d):
+    """Documents to chunks, chunks to an index, and its five best chunks for each asked text."""
+    index = TextIndex(spark, f"{shared_folder(spark)}/chunk-index-{uuid.uuid4().hex}", "string")
+    index.add(text.chunks(load(spark, d, "documents"), "doc_id").select(F.concat_ws("_", "doc_id", "index").alias("doc_id"), F.col("chunk").alias("text")))
+    return index.search(_asked(spark, d), 5).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
 def _vectors(spark, d):
     e = load(spark, d, "embeddings")
     return e, e.filter(ASKED.format("vec_id")).select(F.col("vec_id").alias("query_id"), "embedding")
@@ -224,6 +244,7 @@ CAST(CASE kind WHEN 'categorical' THEN n ELSE 0 END AS INTEGER) AS n_classes FRO
 
 QUERIES = {
     "x5_bm25": (x5_bm25, f"WITH {_BM25} SELECT query_id, doc_id, round(s, 4) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM sc WHERE s > 0) WHERE rank <= 5"),
+    "x5_indexed": (x5_indexed, f"WITH {_BM25} SELECT query_id, doc_id, round(s, 4) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM sc WHERE s > 0) WHERE rank <= 5"),
     "x2_vector_top": (x2_vector_top, f"SELECT query_id, vec_id, round(s, 4) AS score, rank FROM ({_top(5)})"),
     "x3_filtered_search": (x3_filtered_search, f"SELECT query_id, vec_id, round(s, 4) AS score, rank FROM ({_top(3, 'label = 3')})"),
     "x6_x7_fusion": (x6_x7_fusion, f"WITH {_LISTS}, f AS (SELECT query_id, id, sum(1 / (60 + rank)::DOUBLE) AS s, min((no, rank)) AS seen FROM l GROUP BY 1, 2) SELECT query_id, id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, seen) AS rank FROM f) WHERE rank <= 5"),
@@ -243,6 +264,7 @@ QUERIES = {
     "s31_html_text": (s31_html_text, f"SELECT page_id, CAST(length(t) AS BIGINT) AS n, md5(t) AS md5 FROM (SELECT page_id, coalesce(string_agg(q, chr(10) ORDER BY i) FILTER (WHERE q <> ''), '') AS t FROM (SELECT page_id, i, regexp_replace({_UNESCAPED}, '^\\s+|\\s+$', '', 'g') AS q FROM (SELECT page_id, ps[i] AS p, i FROM (SELECT page_id, string_split({_HTML}, chr(1)) AS ps FROM pages), unnest(range(1, len(ps) + 1)) AS u(i))) GROUP BY 1)"),
     "x8_chunks": (x8_chunks, None),
     "x9_chunk_index": (x9_chunk_index, None),
+    "x9_chunk_search": (x9_chunk_search, None),
     "f14_bands": (f14_bands, "SELECT CASE WHEN l_discount < 0.02::DOUBLE THEN '轻微' WHEN l_discount < 0.08::DOUBLE THEN '中等' ELSE '显著' END AS size, count(*) AS n FROM lineitem GROUP BY 1"),
     "f15_colors": (f15_colors, f"SELECT palette, {_CHANNELS}, count(*) AS n FROM (VALUES {_COLORS}) AS t(palette, i, size, color) JOIN customer ON c_nationkey % size = i GROUP BY ALL"),
     "m1_profiles": (m1_profiles, _PROFILES),
