@@ -3,16 +3,18 @@
 A batch inserts, deletes or revises counts. Each change becomes a signed delta, the
 deltas of a batch are summed by source, language and tokenizer version, and totals
 are the sum over committed batches. A batch is staged in a folder of its own and
-committed by creating the log's next entry, which holds the batch's name and folder. An
-entry can be created once: of two drivers one is told that the log has moved on, looks
-whether its batch's name is there by now and else computes its deltas again. So a name
-is committed once, whoever replays it and when, and a driver lost halfway leaves only a
-folder that no reader looks at.
+committed by the log's next entry, which holds the batch's name and folder. An entry is
+written whole under another name and then given its number in one step, which fails where
+the number is taken: of two drivers one is told that the log has moved on, looks whether its
+batch's name is there by now and else computes its deltas again. So readers never see half
+an entry, a name is committed once, whoever replays it and when, and a driver lost at any
+point leaves only files that no reader looks at.
 
 The store also keeps the last count of each document and tokenizer, from which
 deletes and revisions take the amount to withdraw. Every ``compact`` batches both are
-summed into a snapshot, so that a commit reads one snapshot and few batches, however
-long the log is.
+summed into a snapshot, which also holds the names so far, so that a commit reads one
+snapshot and few entries and batches, however long the log is. A snapshot's parts stay until
+the next one but one, for readers that are at work on them, and then go.
 
 Defined cases: null texts have 0 tokens; null sources and languages form groups of
 their own; rows without a doc_id are one document; inserting a document that is present
@@ -83,84 +85,106 @@ class TokenTotals:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
-    def _entries(self, log: str) -> list[dict]:
-        """The entries of a log in order."""
+    def _entries(self, log: str, since: int = 0) -> list[dict]:
+        """The entries of a log from a number on, in order."""
         at = self._path(f"{self.root}/{log}")
         if not self._fs.exists(at):
             return []
-        names = sorted(n for s in self._fs.listStatus(at) if (n := s.getPath().getName()).isdigit())
-        read = self.spark._jvm.org.apache.commons.io.IOUtils.toString
-        return [json.loads(read(self._fs.open(self._path(f"{self.root}/{log}/{n}")), "UTF-8")) for n in names]
+        names = sorted(n for s in self._fs.listStatus(at) if (n := s.getPath().getName()).isdigit() and int(n) >= since)
+        return [self._entry(f"{log}/{n}") for n in names]
+
+    def _entry(self, name: str) -> dict:
+        opened = self._fs.open(self._path(f"{self.root}/{name}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8"))
+        finally:
+            opened.close()
 
     def _create(self, log: str, number: int, entry: dict) -> bool:
-        """Whether this call made the entry, which nobody can make twice."""
+        """Whether this call made the entry, which nobody can make twice or see in part."""
+        jvm = self.spark._jvm
+        whole, place = self._path(f"{self.root}/{log}/_{uuid.uuid4().hex}"), self._path(f"{self.root}/{log}/{number:08d}")
+        out = self._fs.create(whole, False)
+        out.write(json.dumps(entry).encode())
+        out.close()
         try:
-            out = self._fs.create(self._path(f"{self.root}/{log}/{number:08d}"), False)
+            if self._fs.getUri().getScheme() == "file":  # renaming replaces files there, linking doesn't
+                local = [jvm.java.io.File(self._fs.makeQualified(p).toUri().getPath()).toPath() for p in (place, whole)]
+                jvm.java.nio.file.Files.createLink(*local)
+            else:
+                options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf()).rename(self._fs.makeQualified(whole), self._fs.makeQualified(place), options)
+            return True
         except Py4JJavaError as e:
             if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
                 return False
             raise
-        out.write(json.dumps(entry).encode())
-        out.close()
-        return True
+        finally:
+            self._fs.delete(whole, False)
+
+    def _state(self) -> tuple[dict | None, list[dict]]:
+        """The last snapshot, and the entries after it."""
+        at = self._path(f"{self.root}/snapshots")
+        numbers = [int(n) for s in self._fs.listStatus(at) if (n := s.getPath().getName()).isdigit()] if self._fs.exists(at) else []
+        snapshot = self._entry(f"snapshots/{max(numbers):08d}") if numbers else None
+        return snapshot, self._entries("log", snapshot["upto"] if snapshot else 0)
 
     def batches(self) -> list[str]:
         """Names of the committed batches, in order of commit."""
-        return [e["name"] for e in self._entries("log")]
+        snapshot, entries = self._state()
+        return (snapshot["names"] if snapshot else []) + [e["name"] for e in entries]
 
-    def _parts(self, kind: str, schema: str, entries: list[dict]) -> DataFrame:
+    def _parts(self, kind: str, schema: str, state: tuple[dict | None, list[dict]]) -> DataFrame:
         """The rows of the last snapshot and of the batches after it."""
-        upto, paths = 0, []
-        for snapshot in self._entries("snapshots")[-1:]:
-            if snapshot["upto"] <= len(entries):
-                upto, paths = snapshot["upto"], [f"{snapshot['data']}/{kind}"]
-        paths += [f"{e['data']}/{kind}" for e in entries[upto:]]
+        snapshot, entries = state
+        paths = [f"{e['data']}/{kind}" for e in ([snapshot] if snapshot else []) + entries]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _last(self, entries: list[dict]) -> DataFrame:
+    def _last(self, state: tuple[dict | None, list[dict]]) -> DataFrame:
         last = F.max(F.struct("seq", "present", "source", "lang", "n_tokens")).alias("x")
-        return self._parts("counts", _COUNTS, entries).groupBy("doc_id", "tokenizer").agg(last).filter("x.present")
+        return self._parts("counts", _COUNTS, state).groupBy("doc_id", "tokenizer").agg(last).filter("x.present")
 
-    def _sums(self, entries: list[dict]) -> DataFrame:
-        sums = self._parts("deltas", _DELTAS, entries).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    def _sums(self, state: tuple[dict | None, list[dict]]) -> DataFrame:
+        sums = self._parts("deltas", _DELTAS, state).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.filter("n_docs != 0 or n_tokens != 0")
 
     def counts(self) -> DataFrame:
         """The last known count of each document and tokenizer."""
-        return self._last(self._entries("log")).select("doc_id", "tokenizer", "x.source", "x.lang", "x.n_tokens")
+        return self._last(self._state()).select("doc_id", "tokenizer", "x.source", "x.lang", "x.n_tokens")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens over all committed batches."""
-        return self._sums(self._entries("log"))
+        return self._sums(self._state())
 
     def commit(self, name: str, changes: DataFrame) -> bool:
         """Apply changes (doc_id, tokenizer, op in insert/delete/revise; source, lang and
         n_tokens but for deletes). False if a batch of this name is committed."""
         while True:
-            entries = self._entries("log")
-            if any(e["name"] == name for e in entries):
+            state = self._state()
+            names = (state[0]["names"] if state[0] else []) + [e["name"] for e in state[1]]
+            if name in names:
                 return False
             stage = f"{self.root}/data/{uuid.uuid4().hex}"
-            self._stage(stage, changes, entries)
-            if self._create("log", len(entries), {"name": name, "data": stage}):
+            self._stage(stage, changes, state, len(names))
+            if self._create("log", len(names), {"name": name, "data": stage}):
                 break
             self._fs.delete(self._path(stage), True)
-        if (len(entries) + 1) % self.compact == 0:
+        if (len(names) + 1) % self.compact == 0:
             self._snapshot()
         return True
 
-    def _stage(self, stage: str, changes: DataFrame, entries: list[dict]) -> None:
-        """Write the new counts and the deltas of a batch that follows the entries."""
+    def _stage(self, stage: str, changes: DataFrame, state: tuple[dict | None, list[dict]], number: int) -> None:
+        """Write the new counts and the deltas of the batch with this number."""
         best = F.max(F.struct(F.col("op") != "delete", F.col("source"), F.col("lang"), F.col("n_tokens"), F.col("op"))).alias("n")
         new = changes.groupBy("doc_id", "tokenizer").agg(best)
-        old = self._last(entries).select(F.col("doc_id").alias("old_id"), F.col("tokenizer").alias("old_tokenizer"), "x")
+        old = self._last(state).select(F.col("doc_id").alias("old_id"), F.col("tokenizer").alias("old_tokenizer"), "x")
         both = new.join(old, F.col("doc_id").eqNullSafe(F.col("old_id")) & (F.col("tokenizer") == F.col("old_tokenizer")), "left")
         both = both.filter("n.op = 'insert' or x is not null")
         keeps = F.col("n.op") != "delete"
         either = lambda c: F.when(keeps, F.col(f"n.{c}")).otherwise(F.col(f"x.{c}")).alias(c)
         both.select(
             "doc_id", "tokenizer", either("source"), either("lang"), F.coalesce(either("n_tokens"), F.lit(0)).cast("long").alias("n_tokens"), keeps.alias("present"),
-            F.lit(len(entries)).cast("long").alias("seq"), F.col("x.source").alias("old_source"), F.col("x.lang").alias("old_lang"), F.col("x.n_tokens").alias("old_tokens"),
+            F.lit(number).cast("long").alias("seq"), F.col("x.source").alias("old_source"), F.col("x.lang").alias("old_lang"), F.col("x.n_tokens").alias("old_tokens"),
         ).write.parquet(f"{stage}/counts")
         written = self.spark.read.schema(_COUNTS + ", old_source string, old_lang string, old_tokens long").parquet(f"{stage}/counts")
         plus = F.struct("source", "lang", F.lit(1).alias("d"), F.col("n_tokens").alias("n"))
@@ -172,9 +196,16 @@ class TokenTotals:
 
     def _snapshot(self) -> None:
         """Sum up all batches so far; one that another driver has made already is left alone."""
-        entries = self._entries("log")
+        state = self._state()
+        before, entries = state
+        names = (before["names"] if before else []) + [e["name"] for e in entries]
         at = f"{self.root}/data/{uuid.uuid4().hex}"
-        counts = self._last(entries).select("doc_id", "tokenizer", "x.source", "x.lang", "x.n_tokens", "x.present", "x.seq")
+        counts = self._last(state).select("doc_id", "tokenizer", "x.source", "x.lang", "x.n_tokens", "x.present", "x.seq")
         counts.write.parquet(f"{at}/counts")
-        self._sums(entries).write.parquet(f"{at}/deltas")
-        self._create("snapshots", len(entries), {"upto": len(entries), "data": at})
+        self._sums(state).write.parquet(f"{at}/deltas")
+        parts = [e["data"] for e in ([before] if before else []) + entries]
+        if not self._create("snapshots", len(names), {"upto": len(names), "data": at, "names": names, "parts": parts}):
+            self._fs.delete(self._path(at), True)
+            return
+        for old in before["parts"] if before else []:
+            self._fs.delete(self._path(old), True)

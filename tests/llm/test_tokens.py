@@ -100,6 +100,35 @@ def test_lost_driver(spark):
     assert store.commit("b", changes(spark, [(1, "a", "insert", "s", "en", 5)])) and store.totals().count() == 1
 
 
+def test_lost_between_the_steps_of_a_commit(spark):
+    """A driver that dies with its entry written but not in place, and a reader in between."""
+    store = tokens.TokenTotals(spark, scratch_path(spark, "totals"))
+    assert store.commit("a", changes(spark, [(1, "a", "insert", "s", "en", 5)]))
+    out = store._fs.create(store._path(f"{store.root}/log/_half"), False)
+    out.write(b'{"name": "b", "da')
+    out.close()
+    assert store.batches() == ["a"] and store.totals().count() == 1
+    assert store.commit("b", changes(spark, [(2, "a", "insert", "s", "en", 7)])) and not store.commit("b", changes(spark, []))
+    assert set(map(tuple, tokens.TokenTotals(spark, store.root).totals().collect())) == {("s", "en", "a", 2, 12)}
+    number = len(store.batches())
+    assert store._create("log", number, {"name": "c", "data": store._entries("log")[0]["data"]})
+    assert not store._create("log", number, {"name": "d", "data": "elsewhere"}) and store.batches() == ["a", "b", "c"]
+
+
+def test_commits_read_few_entries(spark, monkeypatch):
+    """Entries before a snapshot aren't opened; parts that two snapshots have summed up are gone."""
+    store = tokens.TokenTotals(spark, scratch_path(spark, "totals"), compact=2)
+    for i in range(6):
+        assert store.commit(f"b{i}", changes(spark, [(i, "a", "insert", "s", "en", 1)]))
+    opened, real = [], store._entry
+    monkeypatch.setattr(store, "_entry", lambda name: opened.append(name) or real(name))
+    assert not store.commit("b0", changes(spark, [])) and store.commit("b6", changes(spark, [(9, "a", "insert", "s", "en", 1)]))
+    assert all(name in ("snapshots/00000006", "log/00000006") for name in opened)
+    assert set(map(tuple, store.totals().collect())) == {("s", "en", "a", 7, 7)}
+    folders = [s.getPath().getName() for s in store._fs.listStatus(store._path(f"{store.root}/data"))]
+    assert len(folders) == 5  # two snapshots, the batches after the first of them
+
+
 def plain_encoding():
     with open(f"{tokens.TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
