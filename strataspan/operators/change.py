@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import raster
 from .patches import keep_large
+from .quantiles import quantiles
 
 
 def pixel_join(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -79,20 +80,20 @@ def mean_iou(pairs: DataFrame, truth: str, found: str, classes: list[int], ignor
 def robust_z(df: DataFrame, value: str, keys: list[str], where: Column) -> DataFrame:
     """With z: distance from the group's median in units of 1.4826 times its median
     absolute deviation; both medians are exact and taken over rows that meet ``where``."""
-    med = df.filter(where).groupBy(*keys).agg(F.median(value).alias("med"))
-    joined = df.join(med, keys, "left")
-    mad = joined.filter(where).groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
+    middle = lambda rows, of, name: quantiles(rows.filter(where), of, keys, [0.5]).select(*keys, F.col("q").alias(name))
+    joined = df.join(middle(df, value, "med"), keys, "left").withColumn("off_", F.abs(F.col(value) - F.col("med")))
     scale = F.greatest(1.4826 * F.col("mad"), F.lit(1e-6))
-    return joined.join(mad, keys, "left").withColumn("z", (F.col(value) - F.col("med")) / scale)
+    return joined.join(middle(joined, "off_", "mad"), keys, "left").withColumn("z", (F.col(value) - F.col("med")) / scale).drop("off_")
 
 
 def stretch(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """With ``byte``: 0..255 between two exact percentiles of the values that aren't 0; the
     minimum and maximum where the percentiles are less than 1 apart."""
     seen = df.filter(F.col(value) != 0)
-    q = seen.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("q"), F.min(value).alias("mn"), F.max(value).alias("mx"))
-    narrow = F.col("q")[1] - F.col("q")[0] < 1
-    ends = q.select(F.when(narrow, F.col("mn")).otherwise(F.col("q")[0]).alias("lo"), F.when(narrow, F.col("mx")).otherwise(F.col("q")[1]).alias("hi"))
+    ends = quantiles(seen, value, [], [low, high]).agg(F.min(F.when(F.col("p") == low, F.col("q"))).alias("a"), F.max(F.when(F.col("p") == high, F.col("q"))).alias("b"))
+    q = ends.join(F.broadcast(seen.agg(F.min(value).alias("mn"), F.max(value).alias("mx"))))  # one row each
+    narrow = F.col("b") - F.col("a") < 1
+    ends = q.select(F.when(narrow, F.col("mn")).otherwise(F.col("a")).alias("lo"), F.when(narrow, F.col("mx")).otherwise(F.col("b")).alias("hi"))
     part = (F.col(value) - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9))
     return df.join(F.broadcast(ends)).withColumn("byte", F.floor(F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0)) * 255).cast("int")).drop("lo", "hi")  # one row
 

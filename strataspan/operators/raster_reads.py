@@ -52,7 +52,12 @@ def read_box(pixels: DataFrame, grid: Grid, box: tuple[float, float, float, floa
 
 
 def read_tile(pixels: DataFrame, grid: Grid, z: int, tx: int, ty: int, columns: list[str], size: int = 256) -> DataFrame:
-    """scene_id, y, x and means of the bands in the cells of a map tile."""
+    """scene_id, y, x and means of the bands in the cells of a map tile. Its edges become ranges
+    of rows and columns, which reach the scan, before cells are computed."""
+    west, east = (x / 2**z * 360 - 180 for x in (tx, tx + 1))
+    top, bottom = (math.degrees(2 * math.atan(math.exp(math.pi * (1 - 2 * y / 2**z))) - math.pi / 2) for y in (ty, ty + 1))
+    cols, rows = [(v - grid.west) / grid.step for v in (west, east)], [(grid.north - v) / grid.step for v in (top, bottom)]
+    pixels = pixels.filter(F.col("col").between(math.floor(cols[0]) - 1, math.ceil(cols[1]) + 1) & F.col("row").between(math.floor(rows[0]) - 1, math.ceil(rows[1]) + 1))
     lon, lat = grid.centre()
     wx = (lon + 180.0) / 360.0 * float(2**z * size)
     wy = (F.lit(0.5) - geo.mercator_y(lat) / F.lit(2 * math.pi * 6378137.0)) * float(2**z * size)
@@ -91,4 +96,6 @@ def label_objects(pixels: DataFrame, objects: DataFrame, value: Column, classify
     at = ["scene_id", "row", "col"]
     joined = pixels.select(*at, value.alias("value"), background.alias("own")).join(objects.select(*at, "mask"), at, "left")
     means = joined.filter("mask is not null").groupBy("scene_id", "mask").agg(F.avg("value").alias("mean")).select("scene_id", "mask", classify.alias("class"))
-    return joined.join(means, ["scene_id", "mask"], "left").select(*at, "mask", F.coalesce("class", "own").alias("label"))
+    # pixels outside of objects have no part in the join, where they would be one key
+    inside = joined.filter("mask is not null").join(means, ["scene_id", "mask"]).select(*at, "mask", F.coalesce("class", "own").alias("label"))
+    return inside.unionByName(joined.filter("mask is null").select(*at, "mask", F.col("own").alias("label")))

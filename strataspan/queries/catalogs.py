@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, raster
 from ..operators import catalog
+from ..sources.raster_store import RasterStore
 from ..sources.tables import load, points, scenes
+from ..storage import shared_folder
 from .ddb import POI, SCENES, with_
 
 WHEN, BOX = "1996-01-01T00:00:00Z/1998-12-31T23:59:59Z", (113.5, 22.3, 114.1, 22.7)
@@ -18,6 +22,27 @@ def c1_search(spark, d):
     return catalog.search(scenes(spark, d), WHEN, BOX, 50).select("id", "ordinal")
 
 
+def scene_pixels(spark, d):
+    """Small rasters of the catalog's first scenes: each vector is a picture of eight by eight pixels, and their places."""
+    shown = load(spark, d, "embeddings").join(scenes(spark, d).select("id", F.col("ordinal").alias("vec_id"), "w", "n"), "vec_id")
+    at = shown.select(F.col("id").alias("scene_id"), "w", "n", F.posexplode("embedding").alias("p", "v"))
+    v = F.col("v").cast("double")
+    px = at.select("scene_id", F.floor(F.col("p") / 8).cast("int").alias("row"), (F.col("p") % 8).alias("col"), (F.lit(0.1) + F.abs(v)).alias("b4"), (F.lit(0.2) + v * v).alias("b8"))
+    places = shown.select(F.col("id").alias("scene_id"), F.col("w").alias("west"), F.col("n").alias("north"), F.lit(0.01).alias("step"))
+    return px, places
+
+
+def c9_scene_statistics(spark, d):
+    """Statistics of all scenes that a search finds and that have pixels, inside the searched box."""
+    px, places = scene_pixels(spark, d)
+    store = RasterStore(spark, f"{shared_folder(spark)}/rasters-{uuid.uuid4().hex}", 8)
+    store.write(px, places, ["b4", "b8"])
+    found = catalog.search(scenes(spark, d), None, BOX, 1000).select(F.col("id").alias("scene_id"))
+    ndvi = raster.index_or_zero("ndvi")
+    out = store.pixels(["b4", "b8"], found, BOX).groupBy("scene_id").agg(F.count("*").alias("px"), F.round(F.avg(ndvi), 6).alias("ndvi"), F.round(F.avg((ndvi > 0.3).cast("int")), 6).alias("green"))
+    return out
+
+
 def c2_collection_items(spark, d):
     return catalog.search(scenes(spark, d), None, None, 20, "region1").select("id", "ordinal")
 
@@ -33,7 +58,7 @@ def c6_coverage(spark, d):
 
 
 def c10_date_pairs(spark, d):
-    return catalog.date_pair(scenes(spark, d).filter("year(date) <> 1996"))
+    return catalog.date_pair(scenes(spark, d))
 
 
 def p10_touching_boxes(spark, d):
@@ -212,9 +237,13 @@ _RATIO = "greatest(0, least(114.1::DOUBLE, e) - greatest(113.5::DOUBLE, w)) * gr
 QUERIES = {
     "c1_search": (c1_search, with_(SCENES, select=f"SELECT id, ordinal FROM scene WHERE date BETWEEN '1996-01-01' AND '1998-12-31 23:59:59' AND {_TOUCH} ORDER BY ordinal LIMIT 50")),
     "c2_collection_items": (c2_collection_items, with_(SCENES, select="SELECT id, ordinal FROM scene WHERE region = 'region1' ORDER BY ordinal LIMIT 20")),
+    "c9_scene_statistics": (c9_scene_statistics, with_(SCENES, f"found AS (SELECT * FROM scene WHERE {_TOUCH} ORDER BY ordinal LIMIT 1000)",
+        "px AS (SELECT id, w + ((p % 8) + 0.5::DOUBLE) * 0.01::DOUBLE AS x, n - ((p // 8) + 0.5::DOUBLE) * 0.01::DOUBLE AS y, 0.1::DOUBLE + abs(v) AS b4, 0.2::DOUBLE + v * v AS b8 FROM (SELECT found.*, p, embedding[p + 1]::DOUBLE AS v FROM found JOIN embeddings ON vec_id = ordinal, unnest(range(0, len(embedding))) AS u(p)))",
+        "part AS (SELECT id, (b8 - b4) / (b8 + b4) AS ndvi FROM px WHERE x >= 113.5 - 1e-9 AND x < 114.1 - 1e-9 AND y <= 22.7 + 1e-9 AND y > 22.3 + 1e-9)",
+        select="SELECT id AS scene_id, count(*) AS px, round(avg(ndvi), 6) AS ndvi, round(avg((ndvi > 0.3::DOUBLE)::INT), 6) AS green FROM part GROUP BY id")),
     "c4_collections": (c4_collections, with_(SCENES, select="SELECT region, count(*) AS n_items, min(date) AS first, max(date) AS last, max(n_bands) AS n_bands, round(min(w), 6) AS w, round(min(s), 6) AS s, round(max(e), 6) AS e, round(max(n), 6) AS n, round(min(cloud), 6) AS cloud_min, round(max(cloud), 6) AS cloud_max FROM scene GROUP BY region")),
     "c6_coverage": (c6_coverage, with_(SCENES, "hit AS (SELECT query_id, greatest(0, least(qe, e) - greatest(qw, w)) * greatest(0, least(qn, n) - greatest(qs, s)) / ((qe - qw) * (qn - qs)) AS r FROM scene, " + _Q6 + ")", select="SELECT query_id, round(max(r), 6) AS best, count(*) FILTER (WHERE r > 0) AS n_scenes, CASE WHEN max(r) >= 0.95 THEN 'full' WHEN max(r) > 0 THEN 'partial' ELSE 'none' END AS tier FROM hit GROUP BY 1")),
-    "c10_date_pairs": (c10_date_pairs, with_(SCENES, "y AS (SELECT * FROM scene WHERE year(date) <> 1996)", "span AS (SELECT region, min(year(date)) AS a, max(year(date)) AS b FROM y GROUP BY 1)", "miss AS (SELECT region, coalesce(string_agg(CAST(t AS VARCHAR), ',' ORDER BY t) FILTER (WHERE t NOT IN (SELECT year(date) FROM y WHERE y.region = span.region)), '') AS missing_years FROM span, range(1990, 2010) AS r(t) WHERE t BETWEEN a AND b GROUP BY region)", select="SELECT region, arg_min(id, (date, id)) AS first, arg_max(id, (date, id)) AS last, any_value(missing_years) AS missing_years FROM y JOIN miss USING (region) GROUP BY region")),
+    "c10_date_pairs": (c10_date_pairs, with_(SCENES, "y AS (SELECT * FROM scene)", "span AS (SELECT region, min(year(date)) AS a, max(year(date)) AS b FROM y GROUP BY 1)", "miss AS (SELECT region, coalesce(string_agg(CAST(t AS VARCHAR), ',' ORDER BY t) FILTER (WHERE t NOT IN (SELECT year(date) FROM y WHERE y.region = span.region)), '') AS missing_years FROM span, range(1990, 2010) AS r(t) WHERE t BETWEEN a AND b GROUP BY region)", select="SELECT region, arg_min(id, (date, id)) AS first, arg_max(id, (date, id)) AS last, any_value(missing_years) AS missing_years FROM y JOIN miss USING (region) GROUP BY region")),
     "p10_touching_boxes": (p10_touching_boxes, with_(SCENES, select=f"SELECT id FROM scene WHERE {_TOUCH}")),
     "p11_overlapping_boxes": (p11_overlapping_boxes, with_(SCENES, select="SELECT id FROM scene WHERE w < 114.1::DOUBLE AND e > 113.5::DOUBLE AND s < 22.7::DOUBLE AND n > 22.3::DOUBLE")),
     "p12_open_range": (p12_open_range, with_(SCENES, select="SELECT count(*) AS n, min(date) AS first FROM (SELECT * FROM scene WHERE date >= '2000-01-01' ORDER BY ordinal LIMIT 1000)")),

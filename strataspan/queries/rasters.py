@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, raster
 from ..operators import change, patches
+from ..operators.quantiles import quantiles
 from ..sources.tables import load
 
 PERIOD, WIDTH = 120, 160
@@ -220,7 +221,8 @@ def r15_stretch(spark, d):
 
 def r16_joint_percentiles(spark, d):
     v = scene(spark, d, "c").select(F.explode(F.array("b2", "b3", "b4")).alias("v"))
-    return v.agg(F.percentile("v", F.lit(0.02)).alias("p2"), F.percentile("v", F.lit(0.98)).alias("p98")).select(F.round("p2", 6).alias("p2"), F.round("p98", 6).alias("p98"))
+    q = quantiles(v, "v", [], [0.02, 0.98])
+    return q.agg(*[F.round(F.max(F.when(F.col("p") == p, F.col("q"))), 6).alias(n) for n, p in (("p2", 0.02), ("p98", 0.98))])
 
 
 def r18_resample(spark, d):
