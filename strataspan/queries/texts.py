@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, symbology, text
+from ..functions import geo, sql_functions, symbology, text
 from ..operators import cartography, retrieval
 from ..sources.tables import districts, load, points, scenes
 from ..sources.text_index import TextIndex
+from ..sources.vector_index import VectorIndex
 from ..storage import shared_folder
 from .ddb import POI, SCENES, with_
 
@@ -55,6 +56,25 @@ def x2_vector_top(spark, d):
     return retrieval.vector_search(e, q, 5).select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
 
 
+def x4_approximate(spark, d):
+    """How many of the five exact neighbours of every query the index finds (at least 0.9)."""
+    e, q = _vectors(spark, d)
+    index = VectorIndex(spark, f"{shared_folder(spark)}/vector-index-{uuid.uuid4().hex}")
+    index.build(e)
+    exact = retrieval.vector_search(e, q, 5).select("query_id", "vec_id")
+    found = index.search(q, 5).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    share = exact.join(found, ["query_id", "vec_id"], "left").agg(F.count("*").alias("n"), (F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("share"))
+    return share.select("n", (F.col("share") >= 0.9).alias("enough"))
+
+
+def x4_all_cells(spark, d):
+    """With all cells the index is exact."""
+    e, q = _vectors(spark, d)
+    index = VectorIndex(spark, f"{shared_folder(spark)}/vector-index-{uuid.uuid4().hex}")
+    index.build(e)
+    return index.search(q, 5, 1_000_000).select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
+
+
 def x3_filtered_search(spark, d):
     e, q = _vectors(spark, d)
     return retrieval.vector_search(e, q, 3, F.col("label") == 3).select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
@@ -157,6 +177,21 @@ def x8_chunks(spark, d):
     return text.chunks(load(spark, d, "documents"), "doc_id")
 
 
+def u8_chunks_in_sql(spark, d):
+    """Chunks in a FROM clause: how many each document has, and how long they are."""
+    sql_functions.register(spark)
+    load(spark, d, "documents").createOrReplaceTempView("chunked_documents")
+    return spark.sql("SELECT d.doc_id, count(*) AS n, sum(length(c.chunk)) AS chars FROM chunked_documents d, LATERAL chunks_of(d.text) c GROUP BY d.doc_id")
+
+
+def u7_fusion_in_sql(spark, d):
+    """Rank fusion as a sum in SQL."""
+    sql_functions.register(spark)
+    a, b = _two_lists(spark, d)
+    a.unionByName(b).createOrReplaceTempView("ranked_lists")
+    return spark.sql("SELECT query_id, id, round(sum(fusion_weight(rank)), 6) AS score FROM ranked_lists GROUP BY query_id, id")
+
+
 def x9_chunk_index(spark, d):
     """Chunks of all documents as a collection's rows."""
     c = text.chunks(load(spark, d, "documents"), "doc_id")
@@ -246,6 +281,8 @@ QUERIES = {
     "x5_bm25": (x5_bm25, f"WITH {_BM25} SELECT query_id, doc_id, round(s, 4) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM sc WHERE s > 0) WHERE rank <= 5"),
     "x5_indexed": (x5_indexed, f"WITH {_BM25} SELECT query_id, doc_id, round(s, 4) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM sc WHERE s > 0) WHERE rank <= 5"),
     "x2_vector_top": (x2_vector_top, f"SELECT query_id, vec_id, round(s, 4) AS score, rank FROM ({_top(5)})"),
+    "x4_all_cells": (x4_all_cells, f"SELECT query_id, vec_id, round(s, 4) AS score, rank FROM ({_top(5)})"),
+    "x4_approximate": (x4_approximate, "SELECT 5 * count(*) AS n, true AS enough FROM embeddings WHERE vec_id % 50 = 0"),
     "x3_filtered_search": (x3_filtered_search, f"SELECT query_id, vec_id, round(s, 4) AS score, rank FROM ({_top(3, 'label = 3')})"),
     "x6_x7_fusion": (x6_x7_fusion, f"WITH {_LISTS}, f AS (SELECT query_id, id, sum(1 / (60 + rank)::DOUBLE) AS s, min((no, rank)) AS seen FROM l GROUP BY 1, 2) SELECT query_id, id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, seen) AS rank FROM f) WHERE rank <= 5"),
     "x10_evaluate": (x10_evaluate, f"WITH r AS ({_top(8)}), t AS (SELECT a.vec_id AS query_id, b.vec_id FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 50 = 0), n AS (SELECT query_id, count(vec_id) AS n FROM t GROUP BY 1), h AS (SELECT query_id, rank FROM r JOIN t USING (query_id, vec_id)) SELECT CAST(k AS INTEGER) AS k, round(avg(CASE WHEN c > 0 THEN 1 ELSE 0 END), 6) AS hit_rate, round(avg(coalesce(c / nullif(n, 0), 0)), 6) AS recall, round(avg(coalesce(1 / f, 0)), 6) AS mrr FROM (SELECT k, n.query_id, n, count(rank) FILTER (WHERE rank <= k) AS c, min(rank) AS f FROM n CROSS JOIN (VALUES (1), (3), (8)) AS v(k) LEFT JOIN h USING (query_id) GROUP BY 1, 2, 3) GROUP BY k"),
@@ -263,6 +300,8 @@ QUERIES = {
     "f7_heading": (f7_heading, "SELECT conv_id, turn, CASE WHEN trim(t) = '' THEN 'none' ELSE trim(t) END AS title FROM (SELECT conv_id, turn, regexp_extract('x' || chr(10) || '## ' || coalesce(text, '') || ' ' || chr(10) || 'y', '(?m)^#{1,3}\\s+(.+)$', 1) AS t FROM conversations)"),
     "s31_html_text": (s31_html_text, f"SELECT page_id, CAST(length(t) AS BIGINT) AS n, md5(t) AS md5 FROM (SELECT page_id, coalesce(string_agg(q, chr(10) ORDER BY i) FILTER (WHERE q <> ''), '') AS t FROM (SELECT page_id, i, regexp_replace({_UNESCAPED}, '^\\s+|\\s+$', '', 'g') AS q FROM (SELECT page_id, ps[i] AS p, i FROM (SELECT page_id, string_split({_HTML}, chr(1)) AS ps FROM pages), unnest(range(1, len(ps) + 1)) AS u(i))) GROUP BY 1)"),
     "x8_chunks": (x8_chunks, None),
+    "u8_chunks_in_sql": (u8_chunks_in_sql, None),
+    "u7_fusion_in_sql": (u7_fusion_in_sql, f"WITH {_LISTS} SELECT query_id, id, round(sum(1 / (60 + rank)::DOUBLE), 6) AS score FROM l GROUP BY 1, 2"),
     "x9_chunk_index": (x9_chunk_index, None),
     "x9_chunk_search": (x9_chunk_search, None),
     "f14_bands": (f14_bands, "SELECT CASE WHEN l_discount < 0.02::DOUBLE THEN '轻微' WHEN l_discount < 0.08::DOUBLE THEN '中等' ELSE '显著' END AS size, count(*) AS n FROM lineitem GROUP BY 1"),
