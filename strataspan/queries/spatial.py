@@ -131,7 +131,7 @@ def j6_name_lookup(spark, d):
 DISTRICT_COUNTS = "SELECT d.name, count(p.id) AS n FROM poi p JOIN admin_boundary d ON ST_Within(p.geom, d.geom) GROUP BY d.name ORDER BY n DESC, d.name"
 IN_A_BOX = "SELECT count(*) AS n FROM poi WHERE ST_Intersects(geom, ST_MakeEnvelope(113.95, 22.5, 114.05, 22.56, 4326))"
 SCHOOL_PAIRS = """SELECT a.name AS school, count(*) AS near, round(max(ST_Distance(a.geom, b.geom)), 2) AS farthest FROM schools a, poi b
-  WHERE ST_DWithin(a.geom::geography, b.geom::geography, 1500) AND a.id <> b.id GROUP BY a.name ORDER BY near DESC, school"""
+  WHERE ST_DWithin(a.geom::geography, b.geom::geography, 4000) AND a.id <> b.id GROUP BY a.name ORDER BY near DESC, school"""
 SCHOOLS_AROUND = """SELECT s.name, s.type FROM schools s, admin_boundary a WHERE a.name = 'NATION_7' AND ST_DWithin(s.geom::geography, a.geom::geography, 3000);"""
 
 
@@ -298,7 +298,7 @@ QUERIES = {
     "j2_one_district": (j2_one_district, with_(POI, DISTRICTS, INSIDE, select="SELECT point_id, name, type FROM inside JOIN poi ON poi.id = point_id WHERE district_id = 7")),
     "j14_district_counts": (j14_district_counts, with_(POI, DISTRICTS, INSIDE, select="SELECT name, count(*) AS n FROM inside JOIN district ON id = district_id GROUP BY name")),
     "p7_box_count": (p7_box_count, with_(POI, select="SELECT count(*) AS n FROM poi WHERE lon BETWEEN 113.95::DOUBLE AND 114.05::DOUBLE AND lat BETWEEN 22.5::DOUBLE AND 22.56::DOUBLE")),
-    "p8_school_pairs": (p8_school_pairs, with_(POI, "g0 AS (SELECT a.name AS school, a.lon AS lon1, a.lat AS lat1, b.lon AS lon2, b.lat AS lat2 FROM poi a JOIN poi b ON a.id <> b.id AND a.type = 'BUILDING' AND abs(a.lon - b.lon) < 0.02 AND abs(a.lat - b.lat) < 0.02)", *_dist_sql("lon1", "lat1", "lon2", "lat2"), select="SELECT school, count(*) AS near, round(max(m), 2) AS farthest FROM dist WHERE m <= 1500 GROUP BY school ORDER BY near DESC, school LIMIT 1000")),
+    "p8_school_pairs": (p8_school_pairs, with_(POI, "g0 AS (SELECT a.name AS school, a.lon AS lon1, a.lat AS lat1, b.lon AS lon2, b.lat AS lat2 FROM poi a JOIN poi b ON a.id <> b.id AND a.type = 'BUILDING' AND abs(a.lon - b.lon) < 0.05 AND abs(a.lat - b.lat) < 0.05)", *_dist_sql("lon1", "lat1", "lon2", "lat2"), select="SELECT school, count(*) AS near, round(max(m), 2) AS farthest FROM dist WHERE m <= 4000 GROUP BY school ORDER BY near DESC, school LIMIT 1000")),
     "j3_schools_around": (j3_schools_around, None),
     "j3_distance_join": (j3_distance_join, with_(POI, _BUILDING, "g0 AS (SELECT b.id AS left_id, s_suppkey AS right_id, b.lon AS lon1, b.lat AS lat1, lon2, lat2 FROM b JOIN (SELECT s_suppkey, 113.7::DOUBLE + (s_suppkey * 6007 % 6000)::DOUBLE / 10000.0::DOUBLE AS lon2, 22.4::DOUBLE + (s_suppkey * 3001 % 4000)::DOUBLE / 10000.0::DOUBLE AS lat2 FROM supplier) ON abs(b.lon - lon2) < 0.2 AND abs(b.lat - lat2) < 0.2)", *_dist_sql("lon1", "lat1", "lon2", "lat2"), select="SELECT left_id, right_id, round(m, 2) AS distance_m FROM dist WHERE m <= 12000")),
     "j4_scene_ratio": (j4_scene_ratio, with_(SCENES, select=f"SELECT query_id, id, round(r, 6) AS ratio FROM (SELECT query_id, id, greatest(0, least(qe, e) - greatest(qw, w)) * greatest(0, least(qn, n) - greatest(qs, s)) / ((qe - qw) * (qn - qs)) AS r FROM {_BOXES}, scene) WHERE r > 0")),
