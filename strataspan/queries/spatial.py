@@ -202,9 +202,10 @@ def g3_buffer(spark, d):
 def g4_transform(spark, d):
     xy = geo.utm(F.col("lon"), F.col("lat"))
     p = points(spark, d)
-    back = geo.inverse_transverse_mercator(xy.x, xy.y, F.lit(111.0))
+    meridian = (geo.utm_zone(F.col("lon")) - 1).cast("double") * 6.0 - 177.0
+    back = geo.inverse_transverse_mercator(xy.x, xy.y, meridian)
     ok = (F.abs(back.x - F.col("lon")) < 1e-9) & (F.abs(back.y - F.col("lat")) < 1e-9)
-    return p.filter("lon < 114").select("id", ok.alias("round_trip"))
+    return p.select("id", ok.alias("round_trip"))
 
 
 def g5_intersection(spark, d):
@@ -312,7 +313,7 @@ QUERIES = {
     "g1_geodesic": (g1_geodesic, with_(POI, "g0 AS (SELECT id, 114.0::DOUBLE AS lon1, 22.55::DOUBLE AS lat1, lon AS lon2, lat AS lat2 FROM poi)", *_dist_sql("lon1", "lat1", "lon2", "lat2"), select="SELECT id, round(m, 2) AS m, round(m / 1000, 3) AS km FROM dist")),
     "g2_utm_zone": (g2_utm_zone, "SELECT c_custkey, CAST(CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + floor((lon + 180.0) / 6.0) + 1 AS INTEGER) AS epsg FROM (SELECT c_custkey, fmod(c_custkey::DOUBLE * 7.3::DOUBLE, 360.0::DOUBLE) - 180.0::DOUBLE AS lon, fmod(c_custkey::DOUBLE * 3.1::DOUBLE, 160.0::DOUBLE) - 80.0::DOUBLE AS lat FROM customer)"),
     "g3_buffer": (g3_buffer, with_(POI, select="SELECT id, round(128.0::DOUBLE * sin(2 * pi() / 256) * r * r / 1e6, 3) AS area_km2, 257::BIGINT AS corners FROM (SELECT id, (id % 10 * 100 + 100)::DOUBLE AS r FROM poi)")),
-    "g4_transform": (g4_transform, with_(POI, select="SELECT id, true AS round_trip FROM poi WHERE lon < 114")),
+    "g4_transform": (g4_transform, with_(POI, select="SELECT id, true AS round_trip FROM poi")),
     "g5_intersection": (g5_intersection, None),
     "g8_envelope": (g8_envelope, with_(DISTRICTS, select="SELECT id, round(min(x), 6) AS w, round(min(y), 6) AS s, round(max(x), 6) AS e, round(max(y), 6) AS n FROM vertex GROUP BY id")),
     "g10_mercator": (g10_mercator, with_(POI, select=f"SELECT id, round({_MX}, 3) AS x, round({_MY}, 3) AS y, true AS round_trip FROM poi")),
