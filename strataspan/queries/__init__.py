@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["spatial", "rasters", "catalogs", "texts", "layers"]
+MODULES = ["spatial", "rasters", "catalogs", "texts", "layers", "jobs"]
 
 
 def all_queries() -> dict:
