@@ -3,22 +3,91 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import geo, raster, wkt
-from ..operators import cartography, coverage, overlay, polygons, raster_reads
+from ..operators import cartography, change, coverage, layers, overlay, polygons, raster_reads
 from ..operators import spatial_join as sj
+from ..plans.intents import MapIntent
+from ..plans.map_style import assemble
 from ..schemas import BANDS
+from ..sources.spatial_load import SpatialTables, named_boundaries
 from ..sources.tables import OUTLINES, districts, load, points, scenes
-from ..storage import materialise
+from ..sources import files
+from ..storage import materialise, shared_folder
 from .ddb import DISTRICTS, POI, SCENES, with_
-from .rasters import PERIOD, SPOT, WIDTH, _sql, height, scene, sql_value
+from .rasters import _USABLE, PATCHES, PERIOD, SPOT, WIDTH, _sql, height, scene, sql_value
 
 GRID = raster_reads.Grid(113.9, 22.62, 0.001)
 LABEL = (113.95, 22.47)
 
 
+def m11_s39_overlay(spark, d):
+    """Built-up land gained and lost (a block with holes), written as an overlay and read back: areas told and drawn."""
+    marked = change.gain_loss(change.pixel_join(scene(spark, d, "c"), scene(spark, d, "d")), "builtup")
+    kept = change.kept_patches(marked, "builtup")
+    out = layers.change_features(layers.change_patches(kept, ["kind"], GRID.west, GRID.north, GRID.step), 100.0, "builtup", "c-d")
+    root = f"{shared_folder(spark)}/overlays-{uuid.uuid4().hex}"
+    name = layers.write_overlay(out, root, "builtup", "20240101_000000")
+    shape = "struct<properties:struct<kind:string,area_m2:double>,geometry:struct<coordinates:array<array<array<array<double>>>>>>"
+    f = spark.read.text(f"{root}/{name}").select(F.from_json("value", shape).alias("f")).select("f.*")
+    loop = lambda r: geo.area(F.transform(r, lambda p: geo.point(p[0], p[1])))
+    drawn = F.aggregate("geometry.coordinates", F.lit(0.0), lambda s, p: s + loop(p[0]) - F.aggregate(F.slice(p, 2, F.size(p)), F.lit(0.0), lambda t, h: t + loop(h)))
+    return f.groupBy("properties.kind").agg(F.count("*").alias("n"), F.sum("properties.area_m2").alias("area_m2"), F.round(F.sum(drawn) / GRID.step**2, 2).alias("drawn_px"))
+
+
+def m6_label_features(spark, d):
+    """The labels of map tiles of zoom 11 as GeoJSON."""
+    p = points(spark, d)
+    f = p.select(geo.tile_x(F.col("lon"), 11).alias("tx"), geo.tile_y(F.col("lat"), 11).alias("ty"), "name", geo.mercator_x(F.col("lon")).alias("x"), geo.mercator_y(F.col("lat")).alias("y"),
+                 F.when(F.col("type") == "BUILDING", 0).otherwise(1).alias("priority"), F.lit(0.0).alias("area"))
+    placed = cartography.place_labels(f, ["tx", "ty"], geo.METRES_PER_PIXEL_Z0 / 2**11)
+    kinds = p.select("name", F.col("type").alias("class"), F.when(F.col("type") == "BUILDING", 0).otherwise(1).alias("priority"))
+    return layers.label_features(placed.join(kinds, "name"), ["tx", "ty"])
+
+
+def m7_map_layers(spark, d):
+    """Maps of points and of a vegetation index: their layers in drawing order, and how many
+    features each draws out of the folder that its source names."""
+    root = f"{shared_folder(spark)}/map-{uuid.uuid4().hex}"
+    files.write_features(layers.point_features(points(spark, d).withColumnRenamed("type", "class")), f"{root}/points")
+    files.write_features(layers.polygon_features(districts(spark, d).withColumnRenamed("level", "class")), f"{root}/polygons")
+    cells = scene(spark, d, "c").groupBy(F.floor(F.col("row") / 16).alias("r"), F.floor(F.col("col") / 16).alias("c")).agg(F.avg(raster.index_or_zero("ndvi")).alias("ndvi"))
+    w, n, size = GRID.west + F.col("c") * 16 * GRID.step, GRID.north - F.col("r") * 16 * GRID.step, 16 * GRID.step
+    files.write_features(layers.grid_features(cells.select("ndvi", w.alias("w"), (n - size).alias("s"), (w + size).alias("e"), n.alias("n")), "ndvi"), f"{root}/grid")
+    box, out = (113.7, 22.4, 114.3, 22.8), []
+    for theme in ("poi", "ndvi"):
+        style = assemble(MapIntent(theme, "all", ["school"] if theme == "poi" else [], []), box, {k: f"{root}/{k}" for k in ("points", "polygons", "grid")})
+        for i, layer in enumerate(style["layers"]):
+            drawn = spark.read.text(style["sources"][layer["source"]]["data"]).filter(F.get_json_object("value", "$.geometry.coordinates").isNotNull())
+            out.append(drawn.agg(F.count("*").alias("n")).select(F.lit(theme).alias("theme"), F.lit(i).alias("place"), F.lit(layer["id"]).alias("layer"), F.lit(layer["type"]).alias("kind"), "n"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def s18_spatial_load(spark, d):
+    """Boundaries and points loaded, two types of points derived into schools, then a batch and
+    one more row, with parameters; rows by table and type."""
+    folder = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    t = SpatialTables(spark, f"load_{uuid.uuid4().hex}", folder)
+    t.load(districts(spark, d), points(spark, d), ["BUILDING", "HOUSEHOLD"])
+    t.insert("schools", load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("added").alias("type")))
+    t.execute(f"INSERT INTO {t.name('schools')} SELECT :id, :name, :type, null", {"id": -1, "name": "it's one", "type": "single"})
+    rows = spark.table(t.name("admin_boundary")).select(F.lit("admin_boundary").alias("place"), F.col("level").alias("type"), "id")
+    for name in ("poi", "schools"):
+        rows = rows.unionByName(spark.table(t.name(name)).select(F.lit(name).alias("place"), "type", "id"))
+    return rows.groupBy("place", "type").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+def m12_named_boundaries(spark, d):
+    """Boundaries that the suppliers' questions name."""
+    s = load(spark, d, "supplier").join(load(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    text = F.concat(F.lit("How many schools are in "), F.lower(F.substring("n_name", 1, 1)), F.lit(" or "), "n_name", F.lit("s and INDIA?"))
+    hits = named_boundaries(s.select("s_suppkey", text.alias("text")), districts(spark, d), "s_suppkey")
+    return hits.select("s_suppkey", "id", "name", "level", F.size("ring").alias("corners"))
+
+
 def s6_s7_generated(spark, d):
     """Generated rows, up to seven for each order, written as Parquet and read back."""
     grown = load(spark, d, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.col("o_orderkey") % 7)).alias("k")).select((F.col("o_orderkey") * 7 + F.col("k")).alias("id"))
@@ -293,6 +362,19 @@ _RATIO = """covered AS (SELECT d.id AS query_id, s.id, (least(d.maxx, s.e) - gre
   FROM district d JOIN scene s ON s.w < d.maxx AND d.minx < s.e AND s.s < d.maxy AND d.miny < s.n)"""
 
 QUERIES = {
+    "s18_spatial_load": (s18_spatial_load, with_(DISTRICTS, POI, select="""SELECT place, type, count(*) AS n, sum(id)::BIGINT AS ids FROM (
+SELECT 'admin_boundary' AS place, level AS type, id FROM district UNION ALL SELECT 'poi', type, id FROM poi UNION ALL SELECT 'schools', type, id FROM poi WHERE type IN ('BUILDING', 'HOUSEHOLD')
+UNION ALL SELECT 'schools', 'added', s_suppkey FROM supplier UNION ALL SELECT 'schools', 'single', -1) GROUP BY 1, 2""")),
+    "m12_named_boundaries": (m12_named_boundaries, with_(DISTRICTS, select="""SELECT s_suppkey, d.id, d.name, d.level, (SELECT count(*) FROM vertex v WHERE v.id = d.id)::INT AS corners
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN district d ON contains('How many schools are in ' || lower(n_name[1]) || ' or ' || n_name || 's and INDIA?', d.name)""")),
+    "m11_s39_overlay": (m11_s39_overlay, _sql("c", "d", more=f""",
+mask AS (SELECT 'gain' AS kind, y, x FROM rule WHERE {_USABLE} AND builtup_b AND NOT builtup_a UNION ALL SELECT 'loss', y, x FROM rule WHERE {_USABLE} AND builtup_a AND NOT builtup_b){PATCHES},
+kept AS (SELECT kind, count(*) AS px FROM cc GROUP BY kind, label HAVING count(*) >= 5)""",
+        select="SELECT kind, count(*) AS n, sum(px)::DOUBLE * 100 AS area_m2, sum(px)::DOUBLE AS drawn_px FROM kept GROUP BY kind")),
+    "m6_label_features": (m6_label_features, None),
+    "m7_map_layers": (m7_map_layers, with_(_pixels("c"), select="""SELECT 'poi' AS theme, 0 AS place, 't2m-poi-poly-fill' AS layer, 'fill' AS kind, count(*) AS n FROM nation
+UNION ALL SELECT 'poi', 1, 't2m-poi-points', 'circle', count(*) FROM customer
+UNION ALL SELECT 'ndvi', 0, 't2m-ndvi-fill', 'fill', count(DISTINCT (row // 16, col // 16)) FROM px""")),
     "s6_s7_generated": (s6_s7_generated, "SELECT i % 7 AS kind, count(*) AS n, round(avg(113.7::DOUBLE + (i * 7919 % 6000)::DOUBLE / 10000.0::DOUBLE), 6) AS lon FROM (SELECT o_orderkey * 7 + unnest(range(0, o_orderkey % 7 + 1)) AS i FROM orders) GROUP BY 1"),
     "s19_scaled": (s19_scaled, with_(_pixels("c"), select="SELECT round(sum(round(b2 * 10000) * 0.0001::DOUBLE), 4) AS b2, round(sum(round(b8 * 10000) * 0.0001::DOUBLE), 4) AS b8 FROM px")),
     # centres at 113.9005 + 0.001 col and 22.6195 - 0.001 row: columns 40 to 120, rows 18 to 97
