@@ -83,7 +83,7 @@ def s18_spatial_load(spark, d):
 def m12_named_boundaries(spark, d):
     """Boundaries that the suppliers' questions name."""
     s = load(spark, d, "supplier").join(load(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    text = F.concat(F.lit("How many schools are in "), F.lower(F.substring("n_name", 1, 1)), F.lit(" or "), "n_name", F.lit("s and INDIA?"))
+    text = F.concat(F.lit("How many schools are in "), F.lower(F.substring("n_name", 1, 1)), F.lit(" or "), "n_name", F.lit("s and NATION_3?"))
     hits = named_boundaries(s.select("s_suppkey", text.alias("text")), districts(spark, d), "s_suppkey")
     return hits.select("s_suppkey", "id", "name", "level", F.size("ring").alias("corners"))
 
@@ -366,7 +366,7 @@ QUERIES = {
 SELECT 'admin_boundary' AS place, level AS type, id FROM district UNION ALL SELECT 'poi', type, id FROM poi UNION ALL SELECT 'schools', type, id FROM poi WHERE type IN ('BUILDING', 'HOUSEHOLD')
 UNION ALL SELECT 'schools', 'added', s_suppkey FROM supplier UNION ALL SELECT 'schools', 'single', -1) GROUP BY 1, 2""")),
     "m12_named_boundaries": (m12_named_boundaries, with_(DISTRICTS, select="""SELECT s_suppkey, d.id, d.name, d.level, (SELECT count(*) FROM vertex v WHERE v.id = d.id)::INT AS corners
-FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN district d ON contains('How many schools are in ' || lower(n_name[1]) || ' or ' || n_name || 's and INDIA?', d.name)""")),
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN district d ON contains('How many schools are in ' || lower(n_name[1]) || ' or ' || n_name || 's and NATION_3?', d.name)""")),
     "m11_s39_overlay": (m11_s39_overlay, _sql("c", "d", more=f""",
 mask AS (SELECT 'gain' AS kind, y, x FROM rule WHERE {_USABLE} AND builtup_b AND NOT builtup_a UNION ALL SELECT 'loss', y, x FROM rule WHERE {_USABLE} AND builtup_a AND NOT builtup_b){PATCHES},
 kept AS (SELECT kind, count(*) AS px FROM cc GROUP BY kind, label HAVING count(*) >= 5)""",
