@@ -76,7 +76,8 @@ def named_boundaries(texts: DataFrame, boundaries: DataFrame, key: str, text: st
 
     A text is cut into its substrings of the lengths that names have (there are few), which
     meet the names in a join on equality: names needn't be words, and no text is held
-    against all names."""
+    against all names. Meant for short texts (questions): a text makes a row for each of its
+    places and lengths."""
     named = boundaries.filter("name <> ''")
     lengths = sorted(r[0] for r in named.select(F.length("name")).distinct().collect())  # as many as names have lengths
     if not lengths:
