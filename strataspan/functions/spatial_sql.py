@@ -3,9 +3,8 @@
 A geometry is an array of rings, a ring an array of points: a point is one ring of one
 point, a polygon its shell and its holes, each ending where it starts. Coordinates are
 degrees; distances and radii are metres along the ellipsoid, whatever cast a statement
-names. The bodies are SQL, so they become expressions of the plan. A radius is first
-compared with the chord of two points, which is never longer than the way along the
-ellipsoid, and only then with that.
+names. The bodies are SQL, so they become expressions of the plan. A short way along the
+ellipsoid follows from the chord of two points; only longer ones are iterated.
 
 Null arguments give null. The empty geometry contains and meets nothing.
 """
@@ -18,6 +17,7 @@ from . import geo
 
 POINT = "STRUCT<x: DOUBLE, y: DOUBLE>"
 GEOMETRY = f"ARRAY<ARRAY<{POINT}>>"
+SPOT = "STRUCT<lon: DOUBLE, lat: DOUBLE, x: DOUBLE, y: DOUBLE, z: DOUBLE, a: DOUBLE, b: DOUBLE>"  # see geo.spot
 
 
 # A function can't be called on a lambda's variable, so these are pasted into bodies.
@@ -47,18 +47,24 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _chord() -> str:
-    """The straight distance of two points of the ellipsoid."""
-    e2 = _E2
-    place = "named_struct('x', {n} * cos(radians({lat})) * cos(radians({lon})), 'y', {n} * cos(radians({lat})) * sin(radians({lon})), 'z', {n} * {r}D * sin(radians({lat})))"
-    at = [place.format(lon=f"lon{k}", lat=f"lat{k}", r=1 - e2, n=f"({geo.A}D / sqrt(1 - {e2}D * sin(radians(lat{k})) * sin(radians(lat{k}))))") for k in (1, 2)]
-    return _let("p", at[0], _let("q", at[1], "sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2))"))
+def _spot(lon: str, lat: str, root: str = "r") -> str:
+    return f"""named_struct('lon', {lon}, 'lat', {lat}, 'x', {geo.A}D / {root} * cos(radians({lat})) * cos(radians({lon})), 'y', {geo.A}D / {root} * cos(radians({lat})) * sin(radians({lon})),
+      'z', {geo.A * (1 - _E2)}D / {root} * sin(radians({lat})), 'a', {root} * {root} / {48 * geo.A**2}D, 'b', (1 - pow({1 - _E2}D / ({root} * {root}), 2)) / 48)"""
+
+
+def _root(lat: str) -> str:
+    return f"sqrt(1 - {_E2}D * sin(radians({lat})) * sin(radians({lat})))"
+
+
+def chord(p: str, q: str) -> str:
+    """The square of the straight distance of two spots."""
+    return " + ".join(f"({p}.{c} - {q}.{c}) * ({p}.{c} - {q}.{c})" for c in "xyz")
 
 
 def _geodesic() -> str:
-    """Vincenty's inverse in a fixed number of rounds; the state is the angle and the terms of its round."""
+    """Vincenty's inverse of two spots in a fixed number of rounds; the state is the angle and the terms of its round."""
     f, b = f"{geo.FLAT}D", f"{geo.B}D"
-    fixed = f"""named_struct('u', atan({1 - geo.FLAT}D * tan(radians(lat1))), 'v', atan({1 - geo.FLAT}D * tan(radians(lat2))), 'l', radians(lon2 - lon1))"""
+    fixed = f"""named_struct('u', atan({1 - geo.FLAT}D * tan(radians(p.lat))), 'v', atan({1 - geo.FLAT}D * tan(radians(q.lat))), 'l', radians(q.lon - p.lon))"""
     sines = "named_struct('s1', sin(w.u), 'c1', cos(w.u), 's2', sin(w.v), 'c2', cos(w.v), 'l', w.l)"
     start = "named_struct('lam', w.l, 'ss', 0D, 'cs', 1D, 'sigma', 0D, 'cm', 0D, 'c2a', 0D)"
     lam = f"w.l + (1 - k) * {f} * o.sa * (o.sigma + k * a.ss * (c.cm + k * a.cs * (2 * c.cm * c.cm - 1)))"
@@ -68,8 +74,13 @@ def _geodesic() -> str:
                 _let("k", f"{f} / 16 * c.c2a * (4 + {f} * (4 - 3 * c.c2a))", f"named_struct('lam', {lam}, 'ss', a.ss, 'cs', a.cs, 'sigma', o.sigma, 'cm', c.cm, 'c2a', c.c2a)"))))
     less = "z * s.ss * (s.cm + z / 4 * (s.cs * (2 * s.cm * s.cm - 1) - z / 6 * s.cm * (4 * s.ss * s.ss - 3) * (4 * s.cm * s.cm - 3)))"
     end = _let("t", f"s.c2a * {(geo.A**2 - geo.B**2) / geo.B**2}D", _let("z", "t / 1024 * (256 + t * (-128 + t * (74 - 47 * t)))", f"{b} * (1 + t / 16384 * (4096 + t * (-768 + t * (320 - 175 * t)))) * (s.sigma - {less})"))
-    way = _let("w", fixed, _let("w", sines, f"aggregate(sequence(1, {geo.ROUNDS}), {start}, (s, i) -> {step}, s -> {end})"))
-    return f"CASE WHEN lon1 = lon2 AND lat1 = lat2 THEN 0D ELSE {way} END"
+    return _let("w", fixed, _let("w", sines, f"aggregate(sequence(1, {geo.ROUNDS}), {start}, (s, i) -> {step}, s -> {end})"))
+
+
+def _way() -> str:
+    """Metres between the spots p and q, whose chord has this square; the arc over a short one as in geo.short_way."""
+    short = "sqrt(square) * (1 + square * (p.a + q.a) + pow(radians(p.lat - q.lat), 2) * (p.b + q.b))"
+    return f"CASE WHEN p.lon = q.lon AND p.lat = q.lat THEN 0D WHEN square <= {geo.SHORT_M**2}D THEN {short} ELSE {_geodesic()} END"
 
 
 # name: (parameters, type, body), each after those that it calls.
@@ -128,14 +139,17 @@ FUNCTIONS = {
         """CASE WHEN st_is_point(a) THEN named_struct('a', a[0][0], 'b', st_nearest(a[0][0].x, a[0][0].y, b)) WHEN st_is_point(b) THEN named_struct('a', b[0][0], 'b', st_nearest(b[0][0].x, b[0][0].y, a))
             WHEN a IS NULL OR b IS NULL THEN NULL ELSE raise_error('distances take a point at least on one side') END""",
     ),
-    "st_chord_m": ("lon1 DOUBLE, lat1 DOUBLE, lon2 DOUBLE, lat2 DOUBLE", "DOUBLE", _chord()),
-    "st_geodesic_m": ("lon1 DOUBLE, lat1 DOUBLE, lon2 DOUBLE, lat2 DOUBLE", "DOUBLE", _geodesic()),
-    "st_distance": (f"a {GEOMETRY}, b {GEOMETRY}", "DOUBLE", "st_geodesic_m(st_near_ends(a, b).a.x, st_near_ends(a, b).a.y, st_near_ends(a, b).b.x, st_near_ends(a, b).b.y)"),
-    "st_dwithin": (
-        f"a {GEOMETRY}, b {GEOMETRY}, metres DOUBLE", "BOOLEAN",
-        """CASE WHEN st_chord_m(st_near_ends(a, b).a.x, st_near_ends(a, b).a.y, st_near_ends(a, b).b.x, st_near_ends(a, b).b.y) > metres THEN false
-            ELSE st_geodesic_m(st_near_ends(a, b).a.x, st_near_ends(a, b).a.y, st_near_ends(a, b).b.x, st_near_ends(a, b).b.y) <= metres END""",
+    "st_spot": ("lon DOUBLE, lat DOUBLE", SPOT, _spot("lon", "lat", _root("lat"))),
+    "st_arc_m": (f"p {SPOT}, q {SPOT}, square DOUBLE", "DOUBLE", _way()),
+    "st_way_m": (f"p {SPOT}, q {SPOT}", "DOUBLE", f"st_arc_m(p, q, {chord('p', 'q')})"),
+    # The ends of other geometries are long expressions, which a name holds in conditions too; null for two points.
+    "st_far_m": (
+        f"a {GEOMETRY}, b {GEOMETRY}", "DOUBLE",
+        f"CASE WHEN NOT (st_is_point(a) AND st_is_point(b)) THEN {_let('s', 'st_near_ends(a, b)', _let('p', _let('r', _root('s.a.y'), _spot('s.a.x', 's.a.y')), _let('q', _let('r', _root('s.b.y'), _spot('s.b.x', 's.b.y')), _let('square', chord('p', 'q'), _way()))))} END",
     ),
+    "st_either_m": (f"far DOUBLE, p {SPOT}, q {SPOT}", "DOUBLE", "coalesce(far, st_way_m(p, q))"),
+    "st_distance": (f"a {GEOMETRY}, b {GEOMETRY}", "DOUBLE", "st_either_m(st_far_m(a, b), st_spot(get(get(a, 0), 0).x, get(get(a, 0), 0).y), st_spot(get(get(b, 0), 0).x, get(get(b, 0), 0).y))"),
+    "st_dwithin": (f"a {GEOMETRY}, b {GEOMETRY}, metres DOUBLE", "BOOLEAN", "st_distance(a, b) <= metres"),
     # Cells of a grid that a geometry's box touches, grown by metres; columns go round the globe. lx, ly: the box's own first cell.
     "st_cells": (
         f"g {GEOMETRY}, columns INT, metres DOUBLE", "ARRAY<STRUCT<x: BIGINT, y: BIGINT, lx: BIGINT, ly: BIGINT>>",
@@ -146,7 +160,7 @@ FUNCTIONS = {
     ),
 }
 # What a statement may call; the others serve these.
-PUBLIC = [k for k in FUNCTIONS if k not in ("st_is_point", "st_covers_point", "st_holds_point", "st_nearest", "st_near_ends", "st_chord_m", "st_geodesic_m", "st_cells")]
+PUBLIC = [k for k in FUNCTIONS if k not in ("st_is_point", "st_covers_point", "st_holds_point", "st_nearest", "st_near_ends", "st_spot", "st_arc_m", "st_way_m", "st_far_m", "st_either_m", "st_cells")]
 
 
 def register(spark: SparkSession) -> None:

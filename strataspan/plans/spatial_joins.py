@@ -4,7 +4,9 @@
 would be a nested loop over all pairs. Here each side of an inner join is exploded to the
 cells that its geometry touches, the sides meet on equal cells, and the statement's own
 predicate decides. Cells are as large as the polygons are on average (but no smaller than a
-radius), so that a polygon has few of them. Columns of cells don't show in the result.
+radius), so that a polygon has few of them. Where both sides are points within a radius, each
+row brings its place on the ellipsoid along, the join itself decides by the places and the
+predicate goes from the statement. Columns of cells and places don't show in the result.
 
 A predicate over expressions of one side, or in an outer join, is left as it stands.
 """
@@ -35,7 +37,9 @@ class Rewriter:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.n = spark, 0
+        self.settled = []  # predicates that a cell join has decided
         self.parse = spark._jsparkSession.sessionState().sqlParser().parsePlan
+        self._nodes = spark._jvm.org.apache.spark.sql.catalyst.plans.logical
 
     def frame(self, plan) -> DataFrame:
         """The rows of a parsed plan."""
@@ -58,11 +62,23 @@ class Rewriter:
             plan = self._with(plan, after)
         if kind(plan) == "Filter" and kind(plan.child()) == "Join":
             joined = self._place(plan.child(), self._predicates(plan.condition()))
-            return self._with(plan, [joined]) if joined is not plan.child() else plan
+            if joined is plan.child():
+                return plan
+            left = self._open(plan.condition())
+            return self._nodes.Filter(left, joined) if left is not None else joined
         if kind(plan) == "Join" and plan.condition().isDefined():
             return self._place(plan, self._predicates(plan.condition().get()))
         return plan
 
+    def _open(self, e):
+        """What is left of a condition without the conjuncts that are decided; None if nothing is."""
+        if any(e.equals(p) for p in self.settled):
+            return None
+        if kind(e) != "And":
+            return e
+        rest = [c for c in map(self._open, _list(e.children())) if c is not None]
+        return self._with(e, rest) if len(rest) == 2 else rest[0] if rest else None
+
     def _predicates(self, e) -> list:
         """Spatial predicates among the conjuncts."""
         if kind(e) == "And":
@@ -95,11 +111,11 @@ class Rewriter:
             a, b, *rest = _list(p.children())
             ends = (a, b) if self._belongs(a, left) and self._belongs(b, right) else (b, a) if self._belongs(b, left) and self._belongs(a, right) else None
             if ends:
-                return self._cells(join, *ends, rest[0].sql() if rest else "0")
+                return self._cells(join, p, *ends, rest[0].sql() if rest else "0")
         inside = self._place(left, predicates)
         return join if inside is left else self._with(join, [inside, right])
 
-    def _cells(self, join, a, b, metres: str):
+    def _cells(self, join, predicate, a, b, metres: str):
         sides = [(join.left(), a.sql()), (join.right(), b.sql())]
         shapes = []
         for plan, g in sides:
@@ -115,16 +131,26 @@ class Rewriter:
         if both and metres != "0":
             return join
         grown = 0 if shapes[1][0] and not shapes[0][0] else 1  # the other side consists of points, each in its own cell
+        near = shapes[0][0] and shapes[1][0] and metres != "0"  # points within a radius
         made = []
         for i, (plan, g) in enumerate(sides):
             name, far = f"cell_{k}_{i}", metres if i == grown else "0"
+            spot = f", st_spot(st_x({g}), st_y({g})) AS spot_{k}_{i}" if near else ""
             # A function written in SQL has its place in a projection only, so cells are a column first.
-            celled = self._fill(self.parse(f"SELECT *, st_cells({g}, {columns}, double({far})) AS {name}_all FROM side_"), {"side_": plan})
+            celled = self._fill(self.parse(f"SELECT *, st_cells({g}, {columns}, double({far})) AS {name}_all{spot} FROM side_"), {"side_": plan})
             made.append(self._fill(self.parse(f"SELECT * FROM side_ LATERAL VIEW explode({name}_all) cells_{k}_{i} AS {name}").child(), {"side_": celled}))
         x, y = f"cell_{k}_0", f"cell_{k}_1"
         # Two polygons can meet in several cells; they count in the first that both have.
         first = f" AND {x}.x = pmod(greatest({x}.lx, {y}.lx), {columns}) AND {x}.y = greatest({x}.ly, {y}.ly)" if both else ""
-        template = self.parse(f"SELECT * EXCEPT ({x}, {y}, {x}_all, {y}_all) FROM join_ WHERE {x}.x = {y}.x AND {x}.y = {y}.y{first}")
+        hidden = f"{x}, {y}, {x}_all, {y}_all"
+        if near:
+            p, q = f"spot_{k}_0", f"spot_{k}_1"
+            first, hidden = f" AND {spatial_sql.chord(p, q)} <= {radius * radius!r}D AND st_way_m({p}, {q}) <= {radius!r}D", f"{hidden}, {p}, {q}"
+            self.settled.append(predicate)
+            if join.condition().isDefined():
+                left = self._open(join.condition().get())
+                join = self._nodes.Join(join.left(), join.right(), join.joinType(), self.spark._jvm.scala.Option.apply(left), join.hint())
+        template = self.parse(f"SELECT * EXCEPT ({hidden}) FROM join_ WHERE {x}.x = {y}.x AND {x}.y = {y}.y{first}")
         return self._fill(template, {"join_": self._with(join, made)})
 
 
