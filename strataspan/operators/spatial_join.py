@@ -42,10 +42,10 @@ def count_per_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
 
 
 def _columns(lat_cell: Column, high: float, metres: float) -> Column:
-    """Into how many columns a band of latitude is divided, so that one is as wide as the
-    radius even where the band is nearest to a pole; a band around a pole has one."""
-    top = F.greatest(F.abs(lat_cell * high), F.abs((lat_cell + 1) * high)) + high
-    width = metres / (METRES_PER_DEGREE * F.cos(F.radians(F.least(top, F.lit(90.0)))))
+    """Into how many columns a band of latitude is divided, so that two are as wide as the
+    radius even where points in reach are nearest to a pole; a band around a pole has one."""
+    top = F.greatest(F.abs(lat_cell * high), F.abs((lat_cell + 1) * high)) + metres / METRES_PER_DEGREE
+    width = metres / (2 * METRES_PER_DEGREE * F.cos(F.radians(F.least(top, F.lit(90.0)))))
     return F.when(top >= 90.0, F.lit(1)).otherwise(F.greatest(F.floor(360.0 / width), F.lit(1))).cast("long")
 
 
@@ -56,21 +56,29 @@ def _column(lon: Column, columns: Column) -> Column:
 
 def within_distance(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     """left_id, right_id, distance_m for points (id, lon, lat) at most ``metres`` apart
-    along the ellipsoid. Cells are as high as the radius; a left point looks into its own
-    and the neighbouring cells, across the antimeridian and the poles too. The ellipsoid
-    is only asked for pairs whose chord isn't too long already."""
-    high = metres / METRES_PER_DEGREE
+    along the ellipsoid. Cells are half as high as the radius; a left point looks into its own
+    and two cells around, across the antimeridian and the poles too. Pairs are told by their
+    chord, from places that every point brings along; radii beyond ``geo.SHORT_M`` ask the
+    ellipsoid for pairs whose chord isn't too long already. Cells are few bytes and much work,
+    so tasks that read little aren't put together."""
+    high, short, tasks = metres / METRES_PER_DEGREE / 2, metres <= geo.SHORT_M, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = [F.col(c) for c in ("lon1", "lat1", "lon2", "lat2")]
+    places = [{c: F.col(f"{side}_{c}") for c in geo.SPOT} for side in "pq"]  # plain columns are read faster than structs
+    carried = [[F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in geo.SPOT] for side in "pq"] if short else [ends[:2], ends[2:]]
     rows = left.select(F.col("id").alias("left_id"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"))
-    near = F.sequence(_cell(F.col("lat1"), high) - 1, _cell(F.col("lat1"), high) + 1)
-    rows = rows.withColumn("cy", F.explode(near)).withColumn("columns", _columns(F.col("cy"), high, metres))
+    near = F.sequence(_cell(F.col("lat1"), high) - 2, _cell(F.col("lat1"), high) + 2)
+    rows = rows.withColumn("p", geo.spot(*ends[:2])).withColumn("cy", F.explode(near)).withColumn("columns", _columns(F.col("cy"), high, metres))
     own = _column(F.col("lon1"), F.col("columns"))
-    around = F.array_distinct(F.array(*[F.pmod(own + k, F.col("columns")) for k in (-1, 0, 1)]))
-    rows = rows.withColumn("cx", F.explode(around)).drop("columns")
+    around = F.array_distinct(F.array(*[F.pmod(own + k, F.col("columns")) for k in range(-2, 3)]))
+    rows = rows.withColumn("cx", F.explode(around)).select("left_id", *carried[0], "cx", "cy").repartition(tasks, "cx", "cy")
     other = right.select(F.col("id").alias("right_id"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2")).withColumn("cy", _cell(F.col("lat2"), high))
-    other = other.withColumn("cx", _column(F.col("lon2"), _columns(F.col("cy"), high, metres)))
-    ends = [F.col(c) for c in ("lon1", "lat1", "lon2", "lat2")]
-    pairs = rows.join(other, ["cx", "cy"]).filter(geo.chord_m(*ends) <= metres)
-    return pairs.select("left_id", "right_id", geo.geodesic_m(*ends).alias("distance_m")).filter(F.col("distance_m") <= metres)
+    other = other.withColumns({"cx": _column(F.col("lon2"), _columns(F.col("cy"), high, metres)), "q": geo.spot(*ends[2:])}).select("right_id", *carried[1], "cx", "cy").repartition(tasks, "cx", "cy")
+    pairs = rows.join(other, ["cx", "cy"])
+    if short:
+        pairs, way = pairs.filter(geo.chord_of(*places) <= metres * metres), geo.short_way(*places)
+    else:
+        pairs, way = pairs.filter(geo.chord_m(*ends) <= metres), geo.geodesic_m(*ends)
+    return pairs.select("left_id", "right_id", way.alias("distance_m")).filter(F.col("distance_m") <= metres)
 
 
 def nearby(points: DataFrame, lon: float, lat: float, metres: float, kind: str = "", limit: int = 500) -> DataFrame:

@@ -37,6 +37,19 @@ def test_short_way(spark):
     assert rows[0].way == 0 and rows[0].s == 0
 
 
+def test_join_is_short_and_exact(spark):
+    """Beside and beyond the radius from which chords are enough the same pairs are found."""
+    rng = random.Random(8)
+    at = spark.createDataFrame([(i, rng.choice((-179.95, 179.95)) + rng.uniform(-0.1, 0.1), 60 + rng.random() / 2) for i in range(120)], "id int, lon double, lat double")
+    all_ = at.toDF("left_id", "lon1", "lat1").crossJoin(at.toDF("right_id", "lon2", "lat2")).withColumn("m", geo.geodesic_m(*map(F.col, ("lon1", "lat1", "lon2", "lat2"))))
+    for metres in (6000.0, geo.SHORT_M, 25_000.0):
+        found = within_distance(at, at, metres)
+        assert ("ArrowEvalPython" in plan_of(found)) == (metres > geo.SHORT_M)
+        want = {(r.left_id, r.right_id): r.m for r in all_.filter(F.col("m") <= metres).collect()}
+        got = {(r.left_id, r.right_id): r.distance_m for r in found.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want) and len(want) > 120
+
+
 def test_statement_decides_points_by_place(spark, sf_dir):
     """The predicate isn't left to be computed for each pair; what else the statement asks stays."""
     tables = register_spatial(spark, sf_dir)
