@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Callable, Iterator
 
@@ -16,7 +17,7 @@ Executor = Callable[[dict], dict]
 
 # What a submission has, what a waiting job keeps, what comes out.
 SUBMITTED = ["queue", "job_id", "ts", "task", "args"]
-WAITING = "job_id long, submitted long, task string, args string, attempt int, due long"
+WAITING = "no long, job_id long, submitted long, task string, args string, attempt int, due long"
 OUT = "queue string, job_id long, no long, status string, attempt int, result string, error string"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,8 +27,10 @@ class Worker(StatefulProcessor):
 
     A failed job is tried again ``delay`` ms of event time later, in its old place before later
     ones that are due, until it has been tried ``tries`` times. A job that is still waiting
-    ``patience`` ms after its submission is given up as expired. State holds waiting jobs only,
-    each under its number, so that a turn reads and writes what it touches."""
+    ``patience`` ms after its submission is given up as expired. State holds waiting jobs only.
+    A queue has one timer for the jobs of a batch, the earliest; when it fires, all tries up to
+    the watermark are made in the order of their times, so a batch reads and writes the waiting
+    jobs of a queue once, however many there are."""
 
     def __init__(self, executors: dict[str, Executor], tries: int, delay: int, patience: int) -> None:
         self.executors, self.tries, self.delay, self.patience = executors, tries, delay, patience
@@ -35,7 +38,7 @@ class Worker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.count = handle.getValueState("count", "n long")
-        self.waiting = handle.getMapState("waiting", "no long", WAITING)
+        self.waiting = handle.getListState("waiting", WAITING)
 
     def _run(self, no: int, job: tuple, queue: str) -> tuple:
         """The row that tells what became of a job."""
@@ -49,39 +52,53 @@ class Worker(StatefulProcessor):
         except Exception as e:  # what went wrong is the job's answer
             return *head, "queued" if attempt < self.tries else "error", attempt, None, f"{type(e).__name__}: {e}"
 
-    def _keep(self, no: int, job: tuple, watermark: int) -> None:
-        """A job waits for its next try, which a timer calls for."""
-        due = max(job[1], watermark) + self.delay
-        self.waiting.updateValue((no,), (*job[:4], job[4] + 1, due))
-        self.handle.registerTimer(due)
+    def _next(self, no: int, job: tuple, now: int) -> tuple:
+        """A job that waits for its next try."""
+        return (no, *job[:4], job[4] + 1, max(job[1], now) + self.delay)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n = self.count.get()[0] if self.count.exists() else 0
+        n, now = self.count.get()[0] if self.count.exists() else 0, timerValues.getCurrentWatermarkInMs()
+        first = None
         for frame in rows:
-            out = []
+            out, kept = [], []
             for r in frame.sort_values(["ts", "job_id"], kind="stable").itertuples():
                 job = (int(r.job_id), r.ts.value // 10**6, r.task, r.args, 1, 0)
                 row = self._run(n, job, key[0])
                 if row[3] == "queued":
-                    self._keep(n, job, timerValues.getCurrentWatermarkInMs())
+                    kept.append(self._next(n, job, now))
                 out.append(row)
                 n += 1
+            if kept:
+                self.waiting.appendList(kept)
+                first = min([first or kept[0][6], *(j[6] for j in kept)])
             yield _frame(out)
         self.count.update((n,))
+        if first is not None:
+            self.handle.registerTimer(first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        for (no,), job in sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator()):
-            if job[5] > now:
-                continue
-            self.waiting.removeKey((no,))
-            if job[5] > job[1] + self.patience:
+        now, out, later = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), [], []
+        due = []  # (time, number, job) of the tries to make
+        for no, *job in map(tuple, self.waiting.get()) if self.waiting.exists() else ():
+            due.append((job[5], no, tuple(job))) if job[5] <= now else later.append((no, *job))
+        if not due:  # another batch's timer made these tries
+            return
+        heapq.heapify(due)
+        while due:
+            at, no, job = heapq.heappop(due)
+            if at > job[1] + self.patience:
                 out.append((key[0], job[0], no, "error", job[4] - 1, None, "expired"))
                 continue
             row = self._run(no, job, key[0])
             if row[3] == "queued":
-                self._keep(no, job, now)
+                again = self._next(no, job, at)
+                heapq.heappush(due, (again[6], no, again[1:])) if again[6] <= now else later.append(again)
             out.append(row)
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(j[6] for j in later))
+        else:
+            self.waiting.clear()
         yield _frame(out)
 
     def close(self) -> None:
